@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vaporline.llm import exact_dedup, mixing
+from vaporline.llm import bpe_codec, exact_dedup, mixing, pii, token_counts
 from vaporline.llm.common import ready
 
 
@@ -23,6 +24,35 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(docs, exact_dedup.scratch_index(spark))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, budget=512)
+
+
+def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_digests(bpe_codec.encode(docs))
+
+
+def bpe_digests(encoded: DataFrame) -> DataFrame:
+    """The digests of encoded documents' ids and of the texts that these decode to."""
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    rows = encoded.select("doc_id", "n_tokens", F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), "ids")
+    return bpe_codec.decode(rows).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_spans(docs)
+    base = pii.of_kinds(F.col("spans"), pii.BASE)
+    return found.select(
+        "doc_id",
+        *[F.size(pii.of_kinds(F.col("spans"), (kind,))).cast("long").alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(pii.written(base).cast("binary"), 256).alias("base_sha256"),
+        pii.written(F.col("spans")).alias("spans"),
+    )
+
+
 OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -70,6 +100,9 @@ def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
         "op5_exact_dedup": op5_exact_dedup,
+        "op7_token_counts": op7_token_counts,
+        "op9_bpe_codec": op9_bpe_codec,
+        "op10_pii": op10_pii,
     }
 
 
