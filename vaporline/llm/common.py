@@ -63,3 +63,21 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+#: A key is heavy if it has at least this fraction of all rows; so no more than
+#: HEAVY_KEYS keys are, whatever the size of the data.
+HEAVY_KEYS = 2000
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join where ``right`` has one row a key with ``count``, the number of
+    rows that ``left`` has of it, and ``total`` is the sum of these.
+
+    Heavy keys, of which there are HEAVY_KEYS at most, are broadcast, so that no
+    task gets all rows of one; the rest is joined by shuffle.
+    """
+    is_heavy = F.col(count) * HEAVY_KEYS >= F.lit(total)
+    heavy = F.broadcast(right.where(is_heavy))
+    light = left.join(heavy.select(key), key, "left_anti").join(right.where(~is_heavy), key)
+    return left.join(heavy, key).unionByName(light)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaporline.llm import bpe_codec, exact_dedup, mixing, pii, token_counts
+from vaporline.llm import bpe_codec, exact_dedup, mixing, pii, simhash, token_counts
 from vaporline.llm.common import ready
 
 
@@ -24,6 +24,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(docs, exact_dedup.scratch_index(spark))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.classes(docs).select("doc_id", "fingerprint", "component_id")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, budget=512)
@@ -100,6 +105,7 @@ def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_simhash": op6_simhash,
         "op7_token_counts": op7_token_counts,
         "op9_bpe_codec": op9_bpe_codec,
         "op10_pii": op10_pii,
