@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaporline.llm import bpe_codec, exact_dedup, mixing, pii, simhash, token_counts
+from vaporline.llm import bpe_codec, exact_dedup, mixing, pii, quality, simhash, token_counts
 from vaporline.llm.common import ready
 
 
@@ -19,6 +19,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return quality.score(docs, model)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.classes(docs, exact_dedup.scratch_index(spark))
@@ -104,6 +110,7 @@ FROM n
 def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
+        "op4_quality": op4_quality,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_simhash": op6_simhash,
         "op7_token_counts": op7_token_counts,
