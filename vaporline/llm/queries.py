@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaporline.llm import bpe_codec, exact_dedup, mixing, pii, quality, simhash, token_counts
+from vaporline.llm import bpe_codec, exact_dedup, maxscore, mixing, pii, quality, simhash, token_counts
 from vaporline.llm.common import ready
 
 
@@ -19,6 +19,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=5, is_query="id % 50 = 0")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"))
@@ -95,6 +99,23 @@ SELECT doc_id, size, source_size, target,
 FROM rated
 """
 
+OP3_SQL = r"""
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))), 0) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -110,6 +131,7 @@ FROM n
 def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
+        "op3_maxscore": op3_maxscore,
         "op4_quality": op4_quality,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_simhash": op6_simhash,
@@ -120,4 +142,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op1_mixing": OP1_SQL, "op3_maxscore": OP3_SQL, "op5_exact_dedup": OP5_SQL}
