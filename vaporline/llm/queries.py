@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaporline.llm import bpe_codec, exact_dedup, maxscore, mixing, pii, quality, simhash, token_counts
+from vaporline.llm import bpe_codec, exact_dedup, maxscore, mixing, pii, quality, simhash, token_counts, url_filter
 from vaporline.llm.common import ready
 
 
@@ -44,6 +44,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, budget=512)
 
 
+URL_RULES = [
+    url_filter.HostRule("net", "/", "block"),
+    url_filter.HostRule("example.net", "/en/", "allow"),
+    url_filter.HostRule("example.com", "/de/", "block"),
+    url_filter.HostRule("org", "/fr/", "allow"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_digests(bpe_codec.encode(docs))
@@ -136,6 +148,7 @@ def queries() -> dict:
         "op5_exact_dedup": op5_exact_dedup,
         "op6_simhash": op6_simhash,
         "op7_token_counts": op7_token_counts,
+        "op8_url_filter": op8_url_filter,
         "op9_bpe_codec": op9_bpe_codec,
         "op10_pii": op10_pii,
     }
