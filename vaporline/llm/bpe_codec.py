@@ -27,12 +27,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaporline.llm.bpe_vocab import Bounded, default_vocabulary, one_class, vocabulary, words_of
-from vaporline.llm.common import ready, text_of
+from vaporline.llm.common import fresh, ready, text_of
 
 #: Texts of more bytes than this are halved.
 LEAF_BYTES = 4096
@@ -190,6 +191,23 @@ def encode(docs: DataFrame, *, path: str | None = None, leaf_bytes: int = LEAF_B
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
 
+def encode_into(docs: DataFrame, *, path: str | None = None, leaf_bytes: int = LEAF_BYTES, text_col: str = "text") -> DataFrame:
+    """The rows with all their columns and n_tokens and ids, which replace columns of
+    these names. Only the texts pass through Python."""
+    ready(docs.sparkSession)
+    path = path or default_vocabulary()
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        enc = codec(path, leaf_bytes).encode
+        for texts in batches:
+            yield pd.Series([np.frombuffer(enc(t), np.int32) for t in texts], dtype=object)
+
+    ids = F.pandas_udf(run, "array<int>")(text_of(text_col))
+    kept = [c for c in docs.columns if c.lower() not in ("ids", "n_tokens")]
+    (name,) = fresh(docs, "ids_of_text")
+    return docs.withColumn(name, ids).select(*kept, F.size(name).cast("long").alias("n_tokens"), F.col(name).alias("ids"))
+
+
 #: A batch is answered in portions of about so many bytes of ids.
 PORTION_BYTES = 16 << 20
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaporline.llm import bpe_codec, exact_dedup, maxscore, mixing, pii, quality, simhash, token_counts, url_filter
+from vaporline.llm import bpe_codec, exact_dedup, line_dedup, maxscore, mixing, pii, quality, simhash, token_counts, url_filter
 from vaporline.llm.common import ready
 
 
@@ -19,6 +19,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=5, is_query="id % 50 = 0")
 
@@ -143,6 +147,7 @@ FROM n
 def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
+        "op2_line_dedup": op2_line_dedup,
         "op3_maxscore": op3_maxscore,
         "op4_quality": op4_quality,
         "op5_exact_dedup": op5_exact_dedup,
