@@ -1,0 +1,56 @@
+import random
+import re
+
+from vaporline.llm import pii
+
+from .helpers import AWKWARD, awkward, empty
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute(text):
+    out = {}
+    for kind, pattern in PATTERNS.items():
+        out[kind] = []
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            good = {"email": True, "ip": all(int(p) <= 255 for p in m.group().split(".") if kind == "ip"), "card": 16 <= len(digits) <= 19 and pii.luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]
+            if good:
+                out[kind].append(m.span())
+    return out
+
+
+def test_base_spans_against_the_patterns():
+    r = random.Random(3)
+    pieces = ["@", "a", "b.c", ".", "1", "2", "25", "255", "1.2.3.4", " ", "-", "+", "(", ")", "é", "4111111111111111", "4111 1111 1111 1111", "a@b.co", "+1", "300", "\n", "😀"]
+    for _ in range(8000):
+        text = "".join(r.choice(pieces) for _ in range(r.randint(0, 16)))
+        got = pii.find(text)
+        assert {k: got[k] for k in pii.BASE} == brute(text), text
+
+
+def test_added_kinds():
+    text = "pay GB82 WEST 1234 5698 7654 32, not GB83WEST12345698765432; ssn: 078-05-1120; Account number: 12345678; ftp://joe:secret@host/x"
+    got = {k: [text[a:b] for a, b in v] for k, v in pii.find(text).items()}
+    assert got["iban"] == ["GB82 WEST 1234 5698 7654 32"]
+    assert got["ssn"] == ["078-05-1120"] and got["account"] == ["12345678"] and got["login"] == ["joe:secret"]
+
+
+def test_long_numbers_do_not_fail():
+    assert pii.find("9" * 6000 + ".1.1.1")["ip"] == []
+
+
+def test_awkward_documents(spark):
+    rows = pii.find_spans(awkward(spark)).collect()
+    assert len(rows) == len(AWKWARD)
+    kinds = {s.kind for r in rows for s in r.spans if r.doc_id == 8}
+    assert kinds == {"email", "ip", "card", "phone"}
+    assert all(not r.spans for r in rows if r.doc_id != 8)
+    masked = {r.doc_id: r.text for r in pii.masked(awkward(spark)).collect()}
+    assert masked[8].startswith("mail <email> or <phone> now; <card>; <ip>") and masked[3] == ""
+    assert pii.find_spans(empty(spark)).count() == 0
