@@ -150,17 +150,22 @@ def words_of(text: str, specials) -> list[list[str]] | None:
 
 
 class Bounded(dict):
-    """A dict of what ``make(key)`` gives, emptied when it is full; long keys are
-    made anew each time. Looked up by ``[]``, a known key costs no Python call."""
+    """A dict of what ``make(key)`` gives; looked up by ``[]``, a known key costs no
+    Python call. When it is full it starts anew and the full one is asked before
+    ``make``, until the next is full; so keys that keep coming stay. Long keys are
+    made anew each time."""
 
     def __init__(self, make, most: int = 300_000, longest: int = 64):
         super().__init__()
-        self.make, self.most, self.longest = make, most, longest
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= self.longest:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value

@@ -39,12 +39,9 @@ class PrefixCounter:
 
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
-        # Of a word at a line's start and of a word behind a space: the count at
-        # each prefix, and the last of these.
-        self.bare = Bounded(lambda word: small(self.cut(word)))
-        self.spaced = Bounded(lambda word: small(self.cut(" " + word)))
-        self.bare_total = Bounded(lambda word: self.bare[word][-1])
-        self.spaced_total = Bounded(lambda word: self.spaced[word][-1])
+        # Of a word at a line's start and of a word behind a space: its last count.
+        self.bare_total = Bounded(lambda word: self.cut(word)[-1])
+        self.spaced_total = Bounded(lambda word: self.cut(" " + word)[-1], most=500_000)
 
     def token_ends(self, piece: bytes) -> list[int]:
         """The count at every byte prefix of one pre-token, from 0 on."""
@@ -124,17 +121,12 @@ class PrefixCounter:
                 own = spaced(word) if i else bare[word] + (n > 0)
                 size = len(word) + (i > 0 or n > 0)
                 if base + own >= budget:
-                    at = self.spaced[word] if i else ([0, *(c + 1 for c in self.bare[word])] if n else self.bare[word])
+                    at = self.cut(" " + word) if i else ([0, *(c + 1 for c in self.cut(word))] if n else self.cut(word))
                     return total, start + max(k for k, c in enumerate(at) if base + c <= budget)
                 base, start = base + own, start + size
         raise AssertionError("the words' tokens don't sum to the text's")
 
 
-def small(counts: list[int]):
-    """Prefix counts as bytes where they are small."""
-    return bytes(counts) if max(counts) < 256 else tuple(counts)
-
-
 @lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
