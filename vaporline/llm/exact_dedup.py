@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaporline.llm.common import SPACE, settle, text_of
+from vaporline.llm.common import SPACE, join_counted, settle, text_of
 
 #: Buckets of the index; fixed when it is made. 100 TB of web text is some 3e10
 #: documents and 2.5 TB of index; the default suits some 1e9, pass more for more.
@@ -78,14 +78,15 @@ def classes(docs: DataFrame, index: DigestIndex, *, id_col: str = "doc_id", text
     it has the very id that the index holds (the batch was given before).
 
     Rows are counted by (digest, id) first, which leaves nothing to do for
-    repeated rows; each count is spread out again at the end, the first one kept.
+    repeated rows; each count is spread out again at the end, the first one kept. Large
+    groups, of which there are few, come by broadcast, so none is one task's.
     """
     by_id = batch_digests(docs, id_col, text_col).groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("__n"))
     groups = by_id.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("__n").alias("group_size"))
     index.add(groups)
     known = index.table().hint("merge")
     sizes = groups.select("text_sha256", "group_size").join(known, "text_sha256")
-    rows = by_id.join(sizes, "text_sha256")
+    rows = join_counted(by_id, sizes, "text_sha256", "group_size", docs.count())
     return rows.select(
         "doc_id",
         "keep_id",
