@@ -455,3 +455,61 @@ def datatype_confusion(spark, sf_dir):
     found = profiling.parameter_profile(numeric(spark, sf_dir), exact=True).select("parameter_name", "parameter_datatype")
     wanted = found.select("parameter_name", F.when(F.col("parameter_name") == "view", "categorical").otherwise("numeric").alias("truth"))
     return validation.confusion(found, wanted, "parameter_name", "parameter_datatype", "truth")
+
+
+@query(
+    sql(
+        "SELECT tail_id, flight_id, win_id, round(coalesce(avg(energy) OVER v, 0), 6) AS energy_mean_2, round(coalesce(stddev_pop(energy) OVER v, 0), 6) AS energy_std_2, round(CASE WHEN row_number() OVER (PARTITION BY tail_id, flight_id ORDER BY win_id) > 1 THEN energy - coalesce(avg(energy) OVER v, 0) ELSE 0 END, 6) AS energy_gap_2 FROM m WINDOW v AS (PARTITION BY tail_id, flight_id ORDER BY win_id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING)",
+        *PHASED,
+    )
+)
+def temporal_history_features(spark, sf_dir):
+    rows = phases.temporal_features(metrics(spark, sf_dir).select(*KEYS, "energy"), ["energy"], (2,))
+    return rows.drop("energy")
+
+
+@query(
+    sql(
+        "SELECT parameter_name, round(max(mean) - min(mean), 6) AS span, round(avg(std), 6) AS within, round((max(mean) - min(mean)) / (max(mean) - min(mean) + avg(std)), 6) AS separation FROM p GROUP BY ALL",
+        "e",
+        "p AS (SELECT parameter_name, CAST(floor(ms / 3600000) AS BIGINT) % 4 AS phase_id, avg(value) AS mean, stddev_pop(value) AS std FROM e GROUP BY ALL)",
+    )
+)
+def phase_separation(spark, sf_dir):
+    return phases.separation(in_windows(spark, sf_dir).withColumn("phase_id", F.col("win_id") % 4), "value")
+
+
+@query(
+    sql(
+        "SELECT tail_id, flight_id, win_id, label FROM (SELECT tail_id, flight_id, win_id, parameter_name AS label, count(*) AS n FROM ew GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY tail_id, flight_id, win_id ORDER BY n DESC, label) = 1",
+        "e",
+        "w",
+        "ew",
+    )
+)
+def majority_window_label(spark, sf_dir):
+    labelled = events(spark, sf_dir).select("tail_id", "flight_id", millis("timestamp_utc").alias("at_ms"), F.col("parameter_name").alias("label"))
+    return validation.majority_labels(fixed(spark, sf_dir), labelled)
+
+
+@query(
+    sql(
+        "SELECT tail_id, flight_id, parameter_name, min(ms) AS from_ms, max(ms) AS to_ms FROM r WHERE hot GROUP BY tail_id, flight_id, parameter_name, run",
+        "e",
+        "a AS (SELECT *, value > 80 AS hot FROM e)",
+        "b AS (SELECT *, coalesce(lag(hot) OVER (PARTITION BY tail_id, flight_id, parameter_name ORDER BY ms), false) AS before FROM a)",
+        "r AS (SELECT *, sum(CAST(hot AND NOT before AS INT)) OVER (PARTITION BY tail_id, flight_id, parameter_name ORDER BY ms) AS run FROM b)",
+    )
+)
+def truth_intervals(spark, sf_dir):
+    rows = events(spark, sf_dir).select("tail_id", "flight_id", "parameter_name", millis("timestamp_utc").alias("at_ms"), (F.col("value") > 80).alias("misbehavior_active"))
+    return validation.truth_windows(rows).drop("truth_id")
+
+
+@query(sql("SELECT parameter_name_u, parameter_name_v, pairs FROM (SELECT a.parameter_name AS parameter_name_u, b.parameter_name AS parameter_name_v, count(*) AS pairs FROM e a JOIN e b ON a.tail_id = b.tail_id AND a.flight_id = b.flight_id AND b.event_seq_id = a.event_seq_id + 2 GROUP BY ALL)", "e"))
+def two_steps_apart(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("tail_id", "flight_id").orderBy("event_seq_id")
+    rows = events(spark, sf_dir).select(F.col("parameter_name").alias("parameter_name_u"), F.lead("parameter_name", 2).over(w).alias("parameter_name_v")).where("parameter_name_v IS NOT NULL")
+    return rows.groupBy("parameter_name_u", "parameter_name_v").agg(F.count(F.lit(1)).alias("pairs"))

@@ -231,3 +231,15 @@ def boundary_jaccard(spark, sf_dir):
     rows = events(spark, sf_dir)
     sides = [adapters.fixed_windows(rows.where(F.col("parameter_name") == p)) for p in ("click", "view")]
     return jaccard(*sides, KEYS)
+
+
+@query(
+    sql(
+        "SELECT event_type, CAST(sum(n) AS BIGINT) AS total, count(*) AS active_windows, round(avg(n), 6) AS mean_per_active_window FROM (SELECT m.tail_id, m.flight_id, m.win_id, e.event_type_detected AS event_type, count(*) AS n FROM mine m JOIN e USING (tail_id, flight_id, event_seq_id) GROUP BY ALL) GROUP BY ALL",
+        *NUMBERED,
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
+def event_type_statistics(spark, sf_dir):
+    from vaporline.operators import phases
+
+    return phases.event_type_statistics(adaptive(spark, sf_dir))
