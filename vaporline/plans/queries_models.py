@@ -412,13 +412,15 @@ def explorer_catalogue(spark, sf_dir):
 
 TRUTH = (
     *SCORED,
-    "tw AS (SELECT tail_id, flight_id, win_id AS truth_id, start_ms + 600000 AS from_ms, start_ms + 4000000 AS to_ms FROM w WHERE win_id % 37 = 0)",
+    "tw AS (SELECT DISTINCT tail_id, flight_id, win_id AS truth_id, start_ms + 600000 AS from_ms, start_ms + 4000000 AS to_ms FROM ew WHERE parameter_name = 'error' AND value > 150)",
     "ov AS (SELECT w.tail_id, w.flight_id, w.win_id, truth_id, (least(end_ms, to_ms) - greatest(start_ms, from_ms)) / 1000 AS overlap_s, (end_ms - from_ms) / 1000 AS latency_s FROM w JOIN tw ON w.tail_id = tw.tail_id AND w.flight_id = tw.flight_id AND end_ms >= from_ms AND start_ms <= to_ms)",
 )
 
 
 def truth(spark, sf_dir):
-    return fixed(spark, sf_dir).where("win_id % 37 = 0").select("tail_id", "flight_id", F.col("win_id").alias("truth_id"), (F.col("start_ms") + 600_000).alias("from_ms"), (F.col("start_ms") + 4_000_000).alias("to_ms"))
+    """Stand-in truth: from ten minutes into each window with a large error on."""
+    rows = in_windows(spark, sf_dir).where("parameter_name = 'error' AND value > 150").select(*KEYS, "start_ms").distinct()
+    return rows.select("tail_id", "flight_id", F.col("win_id").alias("truth_id"), (F.col("start_ms") + 600_000).alias("from_ms"), (F.col("start_ms") + 4_000_000).alias("to_ms"))
 
 
 @query(sql("SELECT tail_id, flight_id, win_id, truth_id, round(overlap_s, 6) AS overlap_s, round(latency_s, 6) AS latency_s, CASE WHEN overlap_s / 3600 >= 0.5 AND latency_s >= 0 THEN 'strict' ELSE 'soft' END AS bucket FROM ov", *TRUTH))
@@ -440,9 +442,9 @@ def truth_recall_at_k(spark, sf_dir):
 
 @query()
 def matched_event_labels(spark, sf_dir):
-    at = events(spark, sf_dir).select("tail_id", "flight_id", "parameter_name", F.col("event_type_detected").alias("event_type"), millis("timestamp_utc").alias("at_ms"), "event_id")
-    labels = at.where("event_id % 3 = 0").withColumn("at_ms", F.col("at_ms") + 400).drop("event_id")
-    return validation.match_events(at.where("event_id % 2 = 0").drop("event_id"), labels)
+    at = events(spark, sf_dir).select("tail_id", "flight_id", "parameter_name", F.col("event_type_detected").alias("event_type"), millis("timestamp_utc").alias("at_ms"), "value")
+    labels = at.where("value > 60").withColumn("at_ms", F.col("at_ms") + 400).drop("value")
+    return validation.match_events(at.where("value > 30").drop("value"), labels)
 
 
 @query(

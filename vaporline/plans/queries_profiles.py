@@ -370,8 +370,11 @@ def median_and_mad(spark, sf_dir):
     return median_mad(ev.numbers(numeric(spark, sf_dir)).withColumnRenamed("val", "x"), ["parameter_name"], ["x"])
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE round(o_totalprice, 2) END AS amount FROM orders UNION ALL SELECT -o_orderkey, 1 FROM orders WHERE o_orderkey % 50 = 0")
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 0 ELSE round(o_totalprice, 2) END AS amount FROM orders UNION ALL SELECT -o_orderkey, 1 FROM orders WHERE o_totalprice < 20000")
 def upsert_attribution(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.round("o_totalprice", 2).alias("amount"))
-    updates = orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit(0.0).alias("amount")).unionByName(orders.where("o_orderkey % 50 = 0").select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit(1.0).alias("amount")))
-    return tables.upserted(orders, updates, ["o_orderkey"])
+    """Large orders are replaced, small ones bring a second row under a new key."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.round("o_totalprice", 2).alias("amount"), "o_totalprice")
+    old = orders.select("o_orderkey", "amount")
+    changed = orders.where("o_totalprice > 150000").select("o_orderkey", F.lit(0.0).alias("amount"))
+    added = orders.where("o_totalprice < 20000").select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit(1.0).alias("amount"))
+    return tables.upserted(old, changed.unionByName(added), ["o_orderkey"])
