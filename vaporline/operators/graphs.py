@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vaporline.functions.exprs import millis
 from vaporline.operators.features import WINDOW
-from vaporline.operators.relational import mutual_top_k, top_k, top_k_either_end
+from vaporline.operators.relational import jaccard, mutual_top_k, top_k, top_k_either_end
 
 #: Edges that the hierarchy takes to the driver after pruning; more is an error.
 MOST_EDGES = 250_000
@@ -221,9 +221,37 @@ def edge_evidence(edges: DataFrame, lag: DataFrame) -> DataFrame:
     return edges.join(one, ["parameter_name_u", "parameter_name_v"], "left").join(two, ["parameter_name_u", "parameter_name_v"], "left").fillna(0.0, ["lag_forward", "lag_backward"])
 
 
+def expected_information(a: Sequence[int], b: Sequence[int]) -> float:
+    """Mutual information that two clusterings of these sizes have by chance."""
+    n = sum(a)
+    lg = lambda m: math.lgamma(m + 1)
+    out = 0.0
+    for x in a:
+        for y in b:
+            fixed = lg(x) + lg(y) + lg(n - x) + lg(n - y) - lg(n)
+            for m in range(max(1, x + y - n), min(x, y) + 1):
+                chance = math.exp(fixed - lg(m) - lg(x - m) - lg(y - m) - lg(n - x - y + m))
+                out += m / n * math.log(n * m / (x * y)) * chance
+    return out
+
+
+def stability(whole: DataFrame, parts: Sequence[DataFrame], keys: Sequence[str] = ("parameter_name_u", "parameter_name_v")) -> list[float]:
+    """Jaccard index of a graph's edges with those of graphs from parts of the data."""
+    return [jaccard(whole, part, keys).first().jaccard for part in parts]
+
+
+def fusion_scenarios(precision: DataFrame, event: DataFrame, lag: DataFrame, weights: Sequence[tuple[float, float, float]]) -> DataFrame:
+    """The fused edges under each choice of weights, numbered."""
+    out = None
+    for n, (alpha, beta, gamma) in enumerate(weights):
+        one = fuse(precision, event, lag, alpha=alpha, beta=beta, gamma=gamma).withColumn("scenario", F.lit(n))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def agreement(pairs: DataFrame, left: str, right: str) -> dict[str, float]:
     """How far two clusterings of the same rows agree: pair precision, recall and F1,
-    NMI and ARI, from the contingency counts (clusters by clusters, not rows)."""
+    NMI, AMI and ARI, from the contingency counts (clusters by clusters, not rows)."""
     cells = {(r[left], r[right]): r["count"] for r in pairs.groupBy(left, right).count().collect()}
     a: dict = {}
     b: dict = {}
@@ -235,11 +263,13 @@ def agreement(pairs: DataFrame, left: str, right: str) -> dict[str, float]:
     precision, recall = both / ones if ones else 1.0, both / others if others else 1.0
     expected = ones * others / total if total else 0.0
     h = lambda c: -sum(m / n * math.log(m / n) for m in c.values()) if n else 0.0
+    by_chance = expected_information(list(a.values()), list(b.values()))
     info = sum(m / n * math.log(m * n / (a[x] * b[y])) for (x, y), m in cells.items())
     return {
         "pair_precision": precision,
         "pair_recall": recall,
         "pair_f1": 2 * precision * recall / (precision + recall) if precision + recall else 0.0,
+        "ami": (info - by_chance) / ((h(a) + h(b)) / 2 - by_chance) if abs((h(a) + h(b)) / 2 - by_chance) > 1e-12 else 1.0,
         "nmi": 2 * info / (h(a) + h(b)) if h(a) + h(b) else 1.0,
         "ari": (both - expected) / ((ones + others) / 2 - expected) if (ones + others) / 2 != expected else 1.0,
     }

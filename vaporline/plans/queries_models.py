@@ -133,6 +133,20 @@ def mutual_topk_edges(spark, sf_dir):
     return mutual_top_k(fused_rows(spark, sf_dir), "parameter_name_u", "parameter_name_v", order, 2).select("parameter_name_u", "parameter_name_v")
 
 
+@query(
+    sql(
+        "SELECT member AS parameter_name, min(reach) AS component FROM cc GROUP BY ALL",
+        *MUTUAL,
+        "cc AS (SELECT parameter_name AS member, parameter_name AS reach FROM (SELECT DISTINCT parameter_name FROM e) UNION SELECT member, CASE WHEN mu.u = cc.reach THEN mu.v ELSE mu.u END FROM cc JOIN mu ON cc.reach IN (mu.u, mu.v))",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
+def mutual_components(spark, sf_dir):
+    order = [F.round("fused_weight", 9).desc(), F.col("parameter_name_u"), F.col("parameter_name_v")]
+    edges = [(r[0], r[1]) for r in mutual_top_k(fused_rows(spark, sf_dir), "parameter_name_u", "parameter_name_v", order, 2).select("parameter_name_u", "parameter_name_v").limit(graphs.MOST_EDGES).collect()]
+    names = sorted(r.parameter_name for r in events(spark, sf_dir).select("parameter_name").distinct().collect())
+    return spark.createDataFrame([(p, g[0]) for g in graphs.components(names, edges) for p in g], "parameter_name string, component string")
+
+
 @query()
 def hierarchy_components(spark, sf_dir):
     names = ["click", "error", "purchase", "signup", "view"]
