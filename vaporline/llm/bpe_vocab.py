@@ -7,7 +7,7 @@ normaliser, whose pre-tokeniser is the byte-level one with its usual pattern.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import regex
 
@@ -53,22 +53,36 @@ class Vocabulary:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.id_of = {bytes(symbols[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in self.specials}
         self.bytes_of = {i: b for b, i in self.id_of.items()} | {i: s.encode() for s, i in self.specials.items()}
-        self.longest = max(map(len, self.id_of))
-        self.rank: dict[tuple[int, int], int] = {}
-        self.parts: dict[int, tuple[int, int]] = {}
-        for n, merge in enumerate(spec["model"]["merges"]):
-            a, b = merge.split(" ") if isinstance(merge, str) else merge
-            left, right = (self.id_of[bytes(symbols[c] for c in s)] for s in (a, b))
-            self.rank[left, right] = n
-            made = self.id_of[self.bytes_of[left] + self.bytes_of[right]]
-            if made in self.parts:
-                raise ValueError(f"{path}: a token has two merges")
-            self.parts[made] = (left, right)
+        self._merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        self._symbols, self._path = symbols, path
         self._edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.fitting: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
-        #: The tokens that are the encoding of their own bytes.
-        self.wholes = {b: i for b, i in self.id_of.items() if self.whole(i)}
+
+    # Only counting prefixes needs the merges' tables; encoding leaves them unmade.
+
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.id_of))
+
+    @cached_property
+    def rank(self) -> dict[tuple[int, int], int]:
+        """The order of merges by the pair of tokens that they join."""
+        of = lambda s: self.id_of[bytes(self._symbols[c] for c in s)]
+        return {(of(a), of(b)): n for n, (a, b) in enumerate(self._merges)}
+
+    @cached_property
+    def parts(self) -> dict[int, tuple[int, int]]:
+        """The pair that each token is made of."""
+        out = {self.id_of[self.bytes_of[a] + self.bytes_of[b]]: (a, b) for a, b in self.rank}
+        if len(out) < len(self.rank):
+            raise ValueError(f"{self._path}: a token has two merges")
+        return out
+
+    @cached_property
+    def wholes(self) -> dict[bytes, int]:
+        """The tokens that are the encoding of their own bytes."""
+        return {b: i for b, i in self.id_of.items() if self.whole(i)}
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens that stand at one edge (0 left, 1 right) while ``token`` is

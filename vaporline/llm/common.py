@@ -15,8 +15,16 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that a Python worker gets at once: texts are long and some very long.
+ROWS_AT_ONCE = 1000
+
+
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package when it isn't installed on them."""
+    """Let Python workers import this package when it isn't installed on them, and
+    bound the rows that they hold at once (a setting of the session)."""
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(most)) <= ROWS_AT_ONCE:
+        spark.conf.set(most, str(ROWS_AT_ONCE))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
