@@ -78,15 +78,15 @@ def classes(docs: DataFrame, index: DigestIndex, *, id_col: str = "doc_id", text
     it has the very id that the index holds (the batch was given before).
 
     Rows are counted by (digest, id) first, which leaves nothing to do for
-    repeated rows; each count is spread out again at the end, the first one kept. Large
+    repeated rows and is settled, so that each text is hashed once; each count is spread out again at the end, the first one kept. Large
     groups, of which there are few, come by broadcast, so none is one task's.
     """
-    by_id = batch_digests(docs, id_col, text_col).groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("__n"))
+    by_id = settle(batch_digests(docs, id_col, text_col).groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("__n")))
     groups = by_id.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("__n").alias("group_size"))
     index.add(groups)
     known = index.table().hint("merge")
     sizes = groups.select("text_sha256", "group_size").join(known, "text_sha256")
-    rows = join_counted(by_id, sizes, "text_sha256", "group_size", docs.count())
+    rows = join_counted(by_id, sizes, "text_sha256", "group_size", by_id.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0])
     return rows.select(
         "doc_id",
         "keep_id",
