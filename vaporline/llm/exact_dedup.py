@@ -26,6 +26,8 @@ from vaporline.llm.common import SPACE, join_counted, settle, text_of
 #: Buckets of the index; fixed when it is made. 100 TB of web text is some 3e10
 #: documents and 2.5 TB of index; the default suits some 1e9, pass more for more.
 BUCKETS = 64
+#: Repeats of one row that are spread out by one array.
+REPEATS_AT_ONCE = 4096
 
 
 def digest(text: Column) -> Column:
@@ -87,13 +89,12 @@ def classes(docs: DataFrame, index: DigestIndex, *, id_col: str = "doc_id", text
     known = index.table().hint("merge")
     sizes = groups.select("text_sha256", "group_size").join(known, "text_sha256")
     rows = join_counted(by_id, sizes, "text_sha256", "group_size", by_id.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0])
-    return rows.select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.posexplode(F.array_repeat(F.lit(True), F.col("__n").cast("int"))).alias("__i", "__x"),
-        "text_sha256",
-    ).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__i") == 0)).alias("kept"), "text_sha256")
+    # Spread out in two steps, so that no array has more than REPEATS_AT_ONCE elements
+    # for each REPEATS_AT_ONCE squared repeats.
+    last = (F.col("__n") - 1).cast("long")
+    rows = rows.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(REPEATS_AT_ONCE).cast("long"))))
+    rows = rows.withColumn("__i", F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + REPEATS_AT_ONCE - 1, last))))
+    return rows.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__i") == 0)).alias("kept"), "text_sha256")
 
 
 def kept_rows(docs: DataFrame, index: DigestIndex, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
