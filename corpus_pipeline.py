@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaporline.llm import bpe_codec, line_dedup, mixing, quality, simhash
+from vaporline.llm import bpe_codec, line_dedup, mixing, near_copies, quality
 from vaporline.llm.common import ready, shared_path
 
 
@@ -30,8 +30,8 @@ def recounted(cleaned: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.kept_rows(docs)
+    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    return near_copies.kept_rows(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

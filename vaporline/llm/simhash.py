@@ -22,7 +22,7 @@ read otherwise.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -240,21 +240,33 @@ def classes(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, most_bits: i
     """One row a document: doc_id, text_hash, fingerprint (16 hexadecimal digits),
     component_id and root, the component's smallest fingerprint as a long."""
     rows = settle(fingerprints(docs, shingle_words=shingle_words, seed=seed, id_col=id_col, text_col=text_col))
+    found = joined_classes(rows, lambda distinct: links(distinct, most_bits, limit))
+    return found.select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
+
+
+def joined_classes(rows: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id, root) of rows (doc_id, text_hash, fp), where
+    links_of gives the links (a, b) of the distinct fp."""
     total = rows.count()
     distinct = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
-    roots = settle(components(links(distinct.select("fp"), most_bits, limit)))
+    roots = settle(components(links_of(distinct.select("fp"))))
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "id", F.coalesce("root", "fp").alias("root"))
     least = linked.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("members"))
     known = join_counted(linked, least, "root", "members", distinct.count()).select("fp", "n", "component_id", "root")
     found = join_counted(rows, settle(known), "fp", "n", total)
-    return found.select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
+    return found.select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def kept_rows(docs: DataFrame, **options) -> DataFrame:
     """One document of each component with all its columns: the one whose id is the
     component's, or any one where several rows have that id or none has one."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    found = classes(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return kept_of(docs, classes(docs, **options), id_col, text_col)
+
+
+def kept_of(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``kept_rows`` of classes that are known."""
+    found = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     key, hashed, root = fresh(docs, "key_of_kept", "hash_of_kept", "root_of_kept")
     kept = settle(found.select(F.col("doc_id").alias(key), F.col("text_hash").alias(hashed), F.col("root").alias(root)))
     several = settle(kept.groupBy(root).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(root))
