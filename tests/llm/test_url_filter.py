@@ -75,3 +75,11 @@ def test_mined_rules_against_brute_force(spark):
 def test_empty_and_repeated_rows(spark):
     assert U.judge(pages(spark, []), queries.URL_RULES).count() == 0
     assert U.judge(pages(spark, [(1, None), (None, None), (2, "x"), (2, "x")]), queries.URL_RULES).count() == 4
+
+
+def test_mined_rules_decide_unlabelled_urls(spark):
+    labelled = [(i, f"https://www.ads.com/de/{i}") for i in range(10)] + [(100 + i, f"https://www.good.org/fr/{i}") for i in range(10)]
+    others = [(200 + i, f"https://www.ads.com/es/{i}") for i in range(30)] + [(300, "https://www.good.org/es/1")]
+    rules = [U.HostRule("ads.com", "/de/", "block"), U.HostRule("good.org", "/fr/", "allow")]
+    got = {r.page_id: (r.rule, r.verdict) for r in U.judge(pages(spark, labelled + others), rules, default="unknown").collect()}
+    assert all(got[200 + i] == (None, "block") for i in range(30)) and got[300] == (None, "allow")

@@ -2,10 +2,10 @@
 
 Stated rules (host, path, verdict) decide first. They also are the labels from which
 Spark's FP-growth mines combinations of URL tokens: a combination becomes a rule if it
-is frequent enough together with a verdict and if, among all URLs that have it, enough
-have that verdict (URLs without a label count against it). A rule that a shorter one
-implies is pruned. The rest judge the other URLs by an inverted index from each rule's
-rarest token.
+is frequent enough together with a verdict among the labelled URLs and if, of those that
+have it, enough have that verdict. URLs without a label say nothing of either. A rule
+that a shorter one implies is pruned. The rest judge the other URLs by an inverted index
+from each rule's rarest token.
 
 A URL has at most TOKENS tokens, one of each field below, so there are at most
 2**TOKENS / min_support frequent combinations, whatever the data: the rules that reach
@@ -105,7 +105,8 @@ def described(pages: DataFrame, rules: list[HostRule], id_col: str, url_col: str
 
 
 def mine(labelled: DataFrame, *, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[MinedRule]:
-    """Rules from rows (tokens, stated), where stated is a verdict or null."""
+    """Rules from rows (tokens, stated), where stated is a verdict or null; rows with null
+    count among all that have a combination, so ``judge`` gives none."""
     from pyspark.ml.fpm import FPGrowth
 
     items = labelled.select(F.array_compact(F.array_append("tokens", F.concat(F.lit(VERDICT), F.col("stated")))).alias("items")).where(F.size("items") > 0)
@@ -171,7 +172,7 @@ def judge(pages: DataFrame, rules: list[HostRule], *, id_col: str = "page_id", u
     shuffles moves."""
     ready(pages.sparkSession)
     rows = described(pages, rules, id_col, url_col)
-    found = mine(rows.select("tokens", "stated"), min_support=min_support, min_confidence=min_confidence) if mined is None else mined
+    found = mine(rows.where("stated IS NOT NULL").select("tokens", "stated"), min_support=min_support, min_confidence=min_confidence) if mined is None else mined
     index = Index(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
