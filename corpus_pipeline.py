@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that earlier ones have in common blocks."""
-    return recounted(line_dedup.deduplicated(docs), docs)
+    return recounted(line_dedup.deduplicated(docs, windows=True), docs)
 
 
 def recounted(cleaned: DataFrame, docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 from vaporline.llm import line_dedup as L
 
 from .helpers import AWKWARD, awkward, empty
@@ -60,3 +61,25 @@ def test_awkward_documents(spark):
     assert out.columns == docs.columns and out.count() == len(AWKWARD)
     assert sum(x.text is None for x in out.collect()) == 2
     assert L.line_report(empty(spark)).count() == 0 and L.deduplicated(empty(spark)).count() == 0
+
+
+def test_blocks_whose_lines_have_other_first_holders(spark):
+    one, two = "alpha beta gamma delta epsilon", "zeta eta theta iota kappa"
+    short = "\n".join(f"a{i} b{i} c{i}" for i in range(5))
+    docs = {1: f"own one\n{one}\nmore of one", 2: f"own two\n{two}\nmore of two", 3: f"own three\n{one}\n{two}\nmore three", 4: f"own four\n{one}\n{two}\nmore four", 5: f"own five\n{short}\nmore five", 6: f"own six\n{short}\nmore six"}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {x.doc_id: x.removed for x in L.line_report(frame, windows=True).collect()}
+    assert got == {1: "", 2: "", 3: "", 4: "1,2", 5: "", 6: "1,2,3,4,5"}
+    assert {x.doc_id: x.text for x in corpus_pipeline.line_stage(spark, frame, "").collect()}[4] == "own four\nmore four"
+
+
+def test_windows_against_all_earlier_documents(spark):
+    """All lines unlike within a document and in one order in all, so that no blocks cross."""
+    r = random.Random(6)
+    lines = [f"{i} " + " ".join("x" * r.randint(0, 7)) for i in range(40)]
+    docs = {i: "\n".join(x for x in lines[a : a + 10] if r.random() < 0.8) for i, a in enumerate(r.choices(range(30), k=100))}
+    split = {k: [" ".join(x.split()) for x in t.split("\n")] for k, t in docs.items()}
+    want = {k: sorted({i for e in docs if e < k for i in L.repeated(split[k], split[e], [len(x.split()) for x in split[k]], 10)}) for k in docs}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {x.doc_id: [int(i) for i in x.removed.split(",") if i] for x in L.line_report(frame, windows=True).collect()}
+    assert got == want != brute(docs)

@@ -6,10 +6,13 @@ document, the one with the greater id.
 
 A rare line pairs few documents, a common one would pair all that have it. So every
 document is paired, through each of its lines, with one other only: the first document
-that has the line. That is a pair a line however common lines are, and it loses
-nothing, as what a later document repeats is held against its first occurrence. Lines
-of fewer than ``anchor_words`` words occur everywhere and pair no documents; they are
-aligned and deleted within blocks.
+that has the line. That is a pair a line however common lines are. Lines of fewer than
+``anchor_words`` words occur everywhere and pair no documents; they are aligned and
+deleted within blocks. This alone misses blocks whose lines the first holders have
+apart, and blocks of short lines; with ``windows``, as the queries have it, documents
+are paired through each shortest run of lines with ``block_words`` words as well, from
+each line on and up to each line, short lines included: each line of a block that any
+earlier document has is in such a run within the block, so its first holder is paired.
 
 A block is a run of lines that are neighbours in both documents; it is deleted if it
 has at least ``block_words`` words. The first occurrence of a line is never deleted.
@@ -24,10 +27,12 @@ table gives an empty result; other columns are kept.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,6 +105,15 @@ def repeated(later: list, earlier: list, words: list[int], block_words: int) ->
     return out
 
 
+def shortest_runs(words: list[int], block_words: int) -> set[tuple[int, int]]:
+    """(start, end) of the shortest runs of lines with block_words words, from each line
+    on and up to each line."""
+    sums = [0, *accumulate(words)]
+    ahead = ((i, bisect_left(sums, sums[i] + block_words, i + 1)) for i in range(len(words)))
+    back = ((bisect_right(sums, sums[k] - block_words) - 1, k) for k in range(1, len(sums)) if sums[k] >= block_words)
+    return {(i, k) for i, k in (*ahead, *back) if k <= len(words) and i < k}
+
+
 def document_key(id_col: str, text_col: str) -> Column:
     """Orders documents: by id, nulls last, then by a hash of the text."""
     i = F.col(id_col).cast("long")
@@ -115,20 +129,42 @@ def hashed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.dropDuplicates(["doc"])
 
 
-def candidate_pairs(lines: DataFrame, anchor_words: int) -> DataFrame:
-    """(later, earlier): each document with the first one of each of its lines."""
+def run_hashes(lines: DataFrame, block_words: int) -> DataFrame:
+    """(doc, line): hashes of the shortest runs of two or more lines of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            at, found = [], []
+            for n, (hashes, words) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                each = np.array(hashes.as_py(), np.int64)
+                some = {xxh64_intdigest(each[i:k].tobytes()) for i, k in shortest_runs(words.as_py(), block_words) if k - i > 1}
+                at += [n] * len(some)
+                found += some
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc", "line"])
+
+    return lines.select("doc", "lines", "words").mapInArrow(run, "doc struct<none:boolean,id:long,hash:long>, line long")
+
+
+def candidate_pairs(lines: DataFrame, anchor_words: int, run_words: int | None = None) -> DataFrame:
+    """(later, earlier): each document with the first one of each of its lines, and of
+    each of its shortest runs with run_words words if that is given."""
     anchors = F.array_distinct(F.filter("lines", lambda x, i: F.get(F.col("words"), i) >= anchor_words))
     each = lines.select("doc", F.explode(anchors).alias("line"))
+    if run_words is not None:
+        alone = F.array_distinct(F.filter("lines", lambda x, i: F.get(F.col("words"), i).between(run_words, anchor_words - 1)))
+        each = each.unionByName(lines.select("doc", F.explode(alone).alias("line"))).unionByName(run_hashes(lines, run_words))
     first = each.groupBy("line").agg(F.min("doc").alias("earlier"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = settle(first)
     total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return join_counted(each, first, "line", "n", total).where("doc <> earlier").select(F.col("doc").alias("later"), "earlier").distinct()
 
 
-def deletions(lines: DataFrame, *, anchor_words: int = ANCHOR_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def deletions(lines: DataFrame, *, anchor_words: int = ANCHOR_WORDS, block_words: int = BLOCK_WORDS, windows: bool = False) -> DataFrame:
     """(doc, gone): positions, from 0 and ascending, of each document's lines that an
     earlier document has in an aligned block; only documents with any."""
-    pairs = settle(candidate_pairs(lines, anchor_words))
+    pairs = settle(candidate_pairs(lines, anchor_words, block_words if windows else None))
     total = pairs.count()
     often = pairs.groupBy("earlier").agg(F.count(F.lit(1)).alias("n"))
     # An early document that very many share is dealt out: its lines go to several tasks.
@@ -147,12 +183,12 @@ def deletions(lines: DataFrame, *, anchor_words: int = ANCHOR_WORDS, block_words
     return found.select("doc", F.explode("gone").alias("gone")).distinct().groupBy("doc").agg(F.sort_array(F.collect_list("gone")).alias("gone"))
 
 
-def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = ANCHOR_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = ANCHOR_WORDS, block_words: int = BLOCK_WORDS, windows: bool = False) -> DataFrame:
     """One row a document: doc_id, n_lines, n_removed, words_removed and removed, the
     positions of the lines that go, joined by commas."""
     ready(docs.sparkSession)
     lines = settle(hashed_lines(docs, id_col, text_col))
-    gone = deletions(lines, anchor_words=anchor_words, block_words=block_words)
+    gone = deletions(lines, anchor_words=anchor_words, block_words=block_words, windows=windows)
     none = F.coalesce(F.col("gone"), F.array().cast("array<int>"))
     per_doc = lines.join(gone, "doc", "left").select("doc", F.size("lines").cast("long").alias("n_lines"), F.size(none).cast("long").alias("n_removed"), F.aggregate(none, F.lit(0).cast("long"), lambda s, i: s + F.get(F.col("words"), i)).alias("words_removed"), F.array_join(none.cast("array<string>"), ",").alias("removed"))
     times = docs.groupBy(document_key(id_col, text_col).alias("doc")).agg(F.count(F.lit(1)).alias("times"))
@@ -160,12 +196,12 @@ def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return rows.select(F.when(~F.col("doc.none"), F.col("doc.id")).alias("doc_id"), "n_lines", "n_removed", "words_removed", "removed")
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = ANCHOR_WORDS, block_words: int = BLOCK_WORDS, drop_emptied: bool = True) -> DataFrame:
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = ANCHOR_WORDS, block_words: int = BLOCK_WORDS, windows: bool = False, drop_emptied: bool = True) -> DataFrame:
     """The documents, with all columns, without the lines that earlier ones have."""
     ready(docs.sparkSession)
     lines = settle(hashed_lines(docs, id_col, text_col))
     key, gone = fresh(docs, "key_of_lines", "lines_gone")
-    found = deletions(lines, anchor_words=anchor_words, block_words=block_words).select(F.col("doc").alias(key), F.col("gone").alias(gone))
+    found = deletions(lines, anchor_words=anchor_words, block_words=block_words, windows=windows).select(F.col("doc").alias(key), F.col("gone").alias(gone))
     rows = docs.withColumn(key, document_key(id_col, text_col)).join(found, key, "left")
     split = F.split(F.col(text_col), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))

@@ -20,7 +20,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.line_report(_table(spark, sf_dir, "documents").select("doc_id", "text"), windows=True)
 
 
 def op3_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
