@@ -88,3 +88,14 @@ def test_hierarchy_needs_mutual_support(spark):
     fused = spark.createDataFrame([(u, v, 0.0, 0.0, 2 * w, w) for u, v, w in rows], "parameter_name_u string, parameter_name_v string, precision_weight double, event_weight double, lag_weight double, fused_weight double")
     got = {r.parameter_name: r.module_id for r in graphs.hierarchy(fused, list("abcdef"), k=2).collect()}
     assert got["a"] == got["b"] == got["c"] != got["d"] and len(set(got.values())) == 4
+
+
+def test_limits_raise_instead_of_cutting(spark, monkeypatch):
+    from vaporline.plans import queries_models, stages
+
+    monkeypatch.setattr(graphs, "MOST_EDGES", 0)
+    with pytest.raises(ValueError, match="edges"):
+        queries_models.mutual_components(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(backbone, "MOST_PARAMETERS", 1)
+    with pytest.raises(ValueError, match="parameters"):
+        stages.fit_hierarchy({"datatypes": spark.createDataFrame([("a",), ("b",)], "parameter_name string")}, None)

@@ -142,7 +142,9 @@ def mutual_topk_edges(spark, sf_dir):
 )
 def mutual_components(spark, sf_dir):
     order = [F.round("fused_weight", 9).desc(), F.col("parameter_name_u"), F.col("parameter_name_v")]
-    edges = [(r[0], r[1]) for r in mutual_top_k(fused_rows(spark, sf_dir), "parameter_name_u", "parameter_name_v", order, 2).select("parameter_name_u", "parameter_name_v").limit(graphs.MOST_EDGES).collect()]
+    edges = [(r[0], r[1]) for r in mutual_top_k(fused_rows(spark, sf_dir), "parameter_name_u", "parameter_name_v", order, 2).select("parameter_name_u", "parameter_name_v").limit(graphs.MOST_EDGES + 1).collect()]
+    if len(edges) > graphs.MOST_EDGES:
+        raise ValueError(f"more than {graphs.MOST_EDGES} edges")
     names = sorted(r.parameter_name for r in events(spark, sf_dir).select("parameter_name").distinct().collect())
     return spark.createDataFrame([(p, g[0]) for g in graphs.components(names, edges) for p in g], "parameter_name string, component string")
 

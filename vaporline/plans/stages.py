@@ -85,7 +85,9 @@ def build_graphs(a, s):
 
 
 def fit_hierarchy(a, s):
-    names = [r.parameter_name for r in a["datatypes"].select("parameter_name").orderBy("parameter_name").limit(backbone.MOST_PARAMETERS).collect()]
+    names = [r.parameter_name for r in a["datatypes"].select("parameter_name").orderBy("parameter_name").limit(backbone.MOST_PARAMETERS + 1).collect()]
+    if len(names) > backbone.MOST_PARAMETERS:
+        raise ValueError(f"more than {backbone.MOST_PARAMETERS} parameters")
     return {"hierarchy": graphs.hierarchy(a["fused"], names)}
 
 
