@@ -8,9 +8,12 @@ have, and validates what it got.
 Kinds: email, ip, card and phone (the base), and what the method adds: ``login``
 (user and password in a URL), ``iban`` (an account number behind any anchor of two
 letters' check digits, valid by modulus 97), ``ssn`` and ``account`` (numbers right
-behind such a cue). Of one kind, spans never overlap: a span begins behind the one
-before it, and a base match that fails its validation still takes up its
-characters. Offsets are code points, ends exclusive.
+behind such a cue), ``secret`` (what a cue like token, key or password is set to, if
+it looks drawn rather than written; keys of known forms without a cue),
+``username`` (what such a cue is set to), ``ipv6`` and ``address`` (house number and
+street). Of one kind, spans never overlap: a span begins behind the one before it,
+and a base match that fails its validation still takes up its characters. Offsets
+are code points, ends exclusive.
 
 Defined results: a null text counts as empty and has no spans; repeated rows give
 repeated results; an empty table gives an empty result; extra columns aren't read.
@@ -21,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from ipaddress import IPv6Address
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,12 +34,18 @@ from vaporline.llm.common import ready, text_of
 
 #: Base kinds in the order in which they are listed, then the added ones.
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "login", "iban", "ssn", "account")
+KINDS = (*BASE, "login", "iban", "ssn", "account", "secret", "username", "ipv6", "address")
 
 DIGITS = "0123456789"
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "redis://", "mysql://", "postgres://", "mongodb://")
 SSN_CUES = ("ssn", "social security number", "social security no")
-ACCOUNT_CUES = ("account number", "account no", "acct", "a/c no", "routing number", "passport number", "passport no", "customer id", "member id")
+ACCOUNT_CUES = ("account", "acct", "a/c no", "routing number", "passport number", "passport no", "customer id", "member id")
+SECRET_CUES = ("token", "secret", "password", "passwd", "passphrase", "pwd", "api key", "api_key", "api-key", "apikey", "access key", "access_key", "access-key", "private key", "private_key", "secret key", "secret_key", "credential", "bearer")
+USER_CUES = ("username", "user name", "user_name", "user id", "user_id", "userid", "login", "user")
+#: How keys that need no cue begin.
+KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "sk_live_", "rk_live_", "sk-", "AIza", "eyJ", "-----BEGIN ")
+STREETS = ("Street", "St.", "Road", "Rd.", "Avenue", "Ave.", "Boulevard", "Blvd.", "Lane", "Drive", "Square", "Court", "Terrace")
+HEX = "0123456789abcdefABCDEF"
 
 #: What stands left of an at-sign; matched backwards by scanning.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -46,7 +56,20 @@ _DIAL = re.compile(r"[\x20().0-9-]+")
 _USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]+:[^\s/@?#]+@")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"[\s:#.]{1,4}([0-9]{3}[\x20-]?[0-9]{2}[\x20-]?[0-9]{4})(?![0-9])")
-_ACCOUNT = re.compile(r"(?:\s?(?:no|number|id)\b)?[\s:#.]{1,4}([A-Z]{0,3}[0-9][0-9-]{4,18}[0-9])(?![A-Za-z0-9])")
+_ACCOUNT = re.compile(r"(?:[\s_]?(?:[Nn][Oo]|[Nn]umber|NUMBER|[Ii][Dd])\b)?[\s:#.=]{1,4}([A-Z]{0,3}[0-9][0-9-]{4,18}[0-9])(?![A-Za-z0-9])")
+#: Behind a cue: at most one more word part, a closing quote, an equals sign or colon.
+_SET = r"[A-Za-z0-9_-]{0,16}[\"'\x60]?\s{0,3}(?:=>|:=|=|:)\s{0,3}"
+_QUOTED = re.compile(_SET + r"([\"'\x60])([^\s\"'\x60]{6,512})\1")
+_BARE = re.compile(_SET + r"([A-Za-z0-9_.~+/!@#$%^&*=-]{8,512})")
+_BEARER = re.compile(r"\s{1,2}([A-Za-z0-9_.~+/-]{16,2048}=*)")
+_USER = re.compile(_SET + r"([\"'\x60]?)([A-Za-z][A-Za-z0-9._@-]{1,63})\1(?![A-Za-z0-9])")
+_KEYS = re.compile(
+    r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pos]_[0-9A-Za-z]{36,}|github_pat_[0-9A-Za-z_]{22,}|glpat-[0-9A-Za-z_-]{20,}|xox[bpa]-[0-9A-Za-z-]{10,}"
+    r"|[sr]k_live_[0-9A-Za-z]{16,}|sk-[0-9A-Za-z_-]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"
+    r"|-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[0-9A-Za-z+/=\s\\]{0,16384}(?:-----END [A-Z ]{0,32}PRIVATE KEY-----)?"
+)
+_SIXES = re.compile(r"[0-9A-Fa-f:]+(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3})?")
+_HOUSE = re.compile(r"(?:^|(?<![0-9A-Za-z.,]))([0-9]{1,5}[A-Za-z]?[\x20](?:[A-Z][A-Za-z'.-]{1,20}[\x20]){1,3})$")
 
 
 def luhn(digits: str) -> bool:
@@ -82,6 +105,12 @@ def automaton():
         *((f"{c}{d}", "iban") for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for d in DIGITS),
         *((v, "ssn") for s in SSN_CUES for v in (s, s.upper(), s.capitalize(), s.title())),
         *((v, "account") for s in ACCOUNT_CUES for v in (s, s.upper(), s.capitalize(), s.title())),
+        *((v, "secret") for s in SECRET_CUES for v in (s, s.upper(), s.capitalize(), s.title())),
+        *((s, "secret") for s in KEY_STARTS),
+        *((v, "username") for s in USER_CUES for v in (s, s.upper(), s.capitalize(), s.title())),
+        *((f"{a}:", "ipv6") for a in HEX),
+        ("::", "ipv6"),
+        *((f" {s}", "address") for s in STREETS),
     ]:
         found.setdefault(anchor, []).append(parser)
     out = ahocorasick.Automaton()
@@ -173,7 +202,68 @@ def _behind(pattern: re.Pattern):
     return parse
 
 
-_PARSERS = {"email": _email, "ip": _ip, "card": _card, "phone": _phone, "login": _login, "iban": _iban, "ssn": _behind(_SSN), "account": _behind(_ACCOUNT)}
+def drawn(value: str) -> bool:
+    """Whether a value looks like a key or password: of two kinds of characters and of
+    many different ones, not a written word or a plain number."""
+    kinds = sum(any(c in some for c in value) for some in (DIGITS, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) + any(not c.isalnum() for c in value[1:-1])
+    return kinds > 1 and any(not c.isalpha() for c in value) and len(set(value)) >= min(6, len(value) - 1)
+
+
+def _secret(text: str, at: int, after: int, done: int):
+    cue = text[at:after]
+    if cue in KEY_STARTS:
+        match = None if at and (text[at - 1].isalnum() or text[at - 1] == "_") else _KEYS.match(text, at)
+        return match and (match.start(), match.end(), True)
+    if cue.lower() == "bearer":
+        match = _BEARER.match(text, after)
+        if match is not None:
+            return (match.start(1), match.end(1), True) if drawn(match.group(1)) else None
+    match = _QUOTED.match(text, after)
+    if match is not None:
+        return (match.start(2), match.end(2), True) if drawn(match.group(2)) else None
+    match = _BARE.match(text, after)
+    return (match.start(1), match.end(1), True) if match is not None and drawn(match.group(1)) else None
+
+
+def _username(text: str, at: int, after: int, done: int):
+    if at and text[at - 1].isalnum():
+        return None
+    match = _USER.match(text, after)
+    return match and (match.start(2), match.end(2), True)
+
+
+def _ipv6(text: str, at: int, after: int, done: int):
+    """The run of hexadecimal digits and colons around the anchor, if it is an address
+    of eight groups or one shortened by a double colon."""
+    begin = at
+    while begin > done and text[begin - 1] in HEX:
+        begin -= 1
+    if begin and (text[begin - 1].isalnum() or text[begin - 1] == ":"):
+        return None
+    end = _SIXES.match(text, begin).end()
+    if text[end : end + 1].isalnum():
+        return None
+    value = text[begin:end]
+    if value.endswith(":") and not value.endswith("::"):
+        value = value[:-1]
+    if len(value) < 6 or value.count(":") < 2:
+        return None
+    try:
+        IPv6Address(value)
+    except ValueError:
+        return None
+    return begin, begin + len(value), True
+
+
+def _address(text: str, at: int, after: int, done: int):
+    if text[after : after + 1].isalnum():
+        return None
+    begin = max(done, at - 70)
+    match = _HOUSE.search(text[begin : at + 1])
+    return match and (begin + match.start(1), after, True)
+
+
+_PARSERS = {"email": _email, "ip": _ip, "card": _card, "phone": _phone, "login": _login, "iban": _iban, "ssn": _behind(_SSN), "account": _behind(_ACCOUNT), "secret": _secret, "username": _username, "ipv6": _ipv6, "address": _address}
 
 
 def find_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
