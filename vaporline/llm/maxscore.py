@@ -14,18 +14,19 @@ Queries and candidates meet in blocks: each block of queries with each block of
 candidates once, so the query set is never broadcast and no task holds more than two
 blocks.
 
-Defined results: components become floor(256 x); a vector that is null or has a null
-or non-finite component takes no part, nor does a row with a null id; missing
-components of a shorter vector count as 0; of rows with the same id one stands, that
-with the smallest vector; ties go to the smaller id; a component beyond 3e16
-counts as 3e16; fewer than k candidates give
-fewer rows; an empty table gives an empty result; other columns aren't read. A score
-beyond 64 bits stops at the largest or smallest long.
+Defined results: components become floor(256 x), of any size; a vector that is null or
+has a null or non-finite component takes no part; missing components of a shorter
+vector count as 0; a row is a candidate for every query but itself, so rows that repeat
+an id are candidates of their own and, if queries, have k results each; a row with a
+null id is a candidate, null in the result; ties go to the smaller id, null last; fewer
+than k candidates give fewer rows; an empty table gives an empty result; other columns
+aren't read. A score beyond 64 bits stops at the largest or smallest long.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -44,30 +45,29 @@ PROBE = 8
 #: Sums of products below this are exact in doubles.
 EXACT = float(1 << 53)
 LONG = (1 << 63) - 1
-#: Larger components count as this, whose integer fits a long.
-LARGEST = 3e16
 
 
 class Best:
-    """The k best (score, id) of each query so far."""
+    """The k best (score, place) of each query so far; places are in the order of ids."""
 
     def __init__(self, queries: int, k: int):
         self.k = k
         self.scores: list[np.ndarray] = [np.zeros(0)] * queries
-        self.ids: list[np.ndarray] = [np.zeros(0, np.int64)] * queries
+        self.at: list[np.ndarray] = [np.zeros(0, np.int64)] * queries
 
     def threshold(self, q: int) -> float:
         return self.scores[q][-1] if len(self.scores[q]) == self.k else -np.inf
 
-    def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        scores, ids = np.concatenate([self.scores[q], scores]), np.concatenate([self.ids[q], ids])
-        order = np.lexsort((ids, -scores))[: self.k]
-        self.scores[q], self.ids[q] = scores[order], ids[order]
+    def add(self, q: int, scores: np.ndarray, at: np.ndarray) -> None:
+        scores, at = np.concatenate([self.scores[q], scores]), np.concatenate([self.at[q], at])
+        order = np.lexsort((at, -scores))[: self.k]
+        self.scores[q], self.at[q] = scores[order], at[order]
 
 
-def search_shard(best: Best, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
-    """Bring a shard's candidates into the best of all queries. Vectors are doubles
-    that hold integers, their products and sums below 2**53."""
+def search_shard(best: Best, own: np.ndarray, queries: np.ndarray, start: int, vectors: np.ndarray) -> None:
+    """Bring a shard's candidates, which have the places from ``start`` on, into the best
+    of all queries but the one that stands at the place ``own``. Vectors are doubles that
+    hold integers, their products and sums below 2**53."""
     low, high = vectors.min(0), vectors.max(0)
     columns = np.ascontiguousarray(vectors.T)
     for q in range(len(queries)):
@@ -84,7 +84,9 @@ def search_shard(best: Best, query_ids: np.ndarray, queries: np.ndarray, ids: np
             essential = int(np.searchsorted(spread, max(ceiling.sum() - bar, 0.0), side="right")) + 1
             essential = min(max(essential, PROBE), len(order))
         scores = query[order[:essential]] @ columns[order[:essential]]
-        alive = np.flatnonzero(ids != query_ids[q])
+        alive = np.arange(len(vectors))
+        if 0 <= own[q] - start < len(vectors):
+            alive = np.delete(alive, own[q] - start)
         scores = scores[alive]
         at = essential
         while at < len(order):
@@ -102,49 +104,65 @@ def search_shard(best: Best, query_ids: np.ndarray, queries: np.ndarray, ids: np
             keep = scores >= np.partition(scores, len(scores) - best.k)[len(scores) - best.k]
             alive, scores = alive[keep], scores[keep]
         if len(alive):
-            best.add(q, scores, ids[alive])
+            best.add(q, scores, start + alive)
 
 
-def search_exactly(best: Best, query_ids: np.ndarray, queries: list, ids: np.ndarray, vectors: list) -> None:
+def search_exactly(best: Best, own: np.ndarray, queries: list, vectors: list) -> None:
     """The same for components of any size, in Python's integers."""
     for q, query in enumerate(queries):
-        got = sorted(((-max(-LONG - 1, min(LONG, sum(map(int.__mul__, query, v)))), int(i)) for i, v in zip(ids, vectors, strict=True) if i != query_ids[q]))[: best.k]
-        best.scores[q] = best.scores[q].astype(object)
-        merged = sorted([*zip([-s for s in best.scores[q]], best.ids[q].tolist(), strict=True), *got])[: best.k]
-        best.scores[q] = np.array([-s for s, _ in merged], object)
-        best.ids[q] = np.array([i for _, i in merged], np.int64)
+        got = ((-max(-LONG - 1, min(LONG, sum(map(int.__mul__, query, v)))), at) for at, v in enumerate(vectors) if at != own[q])
+        first = heapq.nsmallest(best.k, got)
+        best.scores[q] = np.array([-s for s, _ in first], object)
+        best.at[q] = np.array([at for _, at in first], np.int64)
 
 
-def padded(rows: list[list[int]], width: int) -> np.ndarray:
+def whole(x: float) -> int:
+    """floor(256 x), where 256 x may be beyond the largest double."""
+    scaled = SCALE * x
+    return math.floor(scaled) if math.isfinite(scaled) else SCALE * int(x)
+
+
+def padded(rows: pa.Array, width: int) -> np.ndarray:
+    """Vectors as doubles floor(256 x), exact, with zeros behind the shorter ones."""
+    sizes = rows.value_lengths().to_numpy(zero_copy_only=False)
+    flat = np.floor(float(SCALE) * rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
     out = np.zeros((len(rows), width))
-    for i, row in enumerate(rows):
-        out[i, : len(row)] = row
+    out[np.arange(width) < sizes[:, None]] = flat
     return out
 
 
 def search_block(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
-    """The best k candidates of a block for each query of a block."""
-    qs, cs = queries.column("v").to_pylist(), candidates.column("v").to_pylist()
-    query_ids, ids = queries.column("id").to_numpy(), candidates.column("id").to_numpy()
-    best = Best(len(qs), k)
-    width = max(map(len, [*qs, *cs]), default=0)
-    largest = [max((max(map(abs, v), default=0) for v in side), default=0) for side in (qs, cs)]
-    if width and largest[0] * largest[1] * width * 2 < EXACT:
+    """The best k candidates of a block for each query of a block. The candidates'
+    places are in the order of (id, null last; row), so that ties go to the first."""
+    order = np.lexsort((candidates.column("row").to_numpy(), candidates.column("id").fill_null(0).to_numpy(), candidates.column("id").is_null().to_numpy(zero_copy_only=False)))
+    candidates = candidates.take(pa.array(order))
+    place = {row: at for at, row in enumerate(candidates.column("row").to_pylist())}
+    own = np.array([place.get(row, -1) for row in queries.column("row").to_pylist()], np.int64)
+    best, qs, cs = Best(len(own), k), queries.column("v").combine_chunks(), candidates.column("v").combine_chunks()
+    width = max((int(x.value_lengths().to_numpy(zero_copy_only=False).max(initial=0)) for x in (qs, cs)), default=0)
+    with np.errstate(over="ignore"):
         q, c = padded(qs, width), padded(cs, width)
+        small = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * width * 2 < EXACT
+    if width and small:
         for at in range(0, len(c), SHARD):
-            search_shard(best, query_ids, q, ids[at : at + SHARD], c[at : at + SHARD])
+            search_shard(best, own, q, at, c[at : at + SHARD])
     else:
-        search_exactly(best, query_ids, [v + [0] * (width - len(v)) for v in qs], ids, [v + [0] * (width - len(v)) for v in cs])
-    found = [(int(query_ids[q]), int(i), int(s)) for q in range(len(qs)) for s, i in zip(best.scores[q], best.ids[q], strict=True)]
-    return pa.table([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ([], [], []))], ["query_id", "vec_id", "score"])
+        search_exactly(best, own, *([[*map(whole, v), *[0] * (width - len(v))] for v in side.to_pylist()] for side in (qs, cs)))
+    which = np.repeat(np.arange(len(own)), list(map(len, best.at)))
+    at = np.concatenate([*best.at, np.zeros(0, np.int64)])
+    scores = pa.array([int(s) for each in best.scores for s in each], pa.int64())
+    of = queries.select(["row", "id"]).take(pa.array(which))
+    return pa.table([of.column("row"), of.column("id"), candidates.column("id").take(pa.array(at)), candidates.column("row").take(pa.array(at)), scores], ["query_row", "query_id", "vec_id", "vec_row", "score"])
 
 
-def integer_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): the vectors that take part, as integers, one row an id."""
-    x = F.col(vector_col).cast("array<double>")
-    sound = F.col(id_col).isNotNull() & x.isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    whole = F.transform(x, lambda e: F.floor(F.lit(float(SCALE)) * F.greatest(F.least(e, F.lit(LARGEST)), F.lit(-LARGEST))))
-    return rows.where(sound).select(F.col(id_col).cast("long").alias("id"), whole.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+def vectors_taking_part(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(row, id, v): the rows that take part under a number of their own, settled, since
+    that number holds for one run only. Single floats stay single."""
+    x = F.col(vector_col)
+    if rows.schema[vector_col].dataType.elementType.typeName() != "float":
+        x = x.cast("array<double>")
+    sound = x.isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
+    return settle(rows.where(sound).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), x.alias("v")))
 
 
 def top_k(vectors: DataFrame, *, k: int = 5, is_query: str = "id % 50 = 0", id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK, block: int = BLOCK) -> DataFrame:
@@ -157,19 +175,19 @@ def top_k(vectors: DataFrame, *, k: int = 5, is_query: str = "id % 50 = 0", id_c
     """
     spark = vectors.sparkSession
     ready(spark)
-    rows = settle(integer_vectors(vectors, id_col, vector_col))
+    rows = vectors_taking_part(vectors, id_col, vector_col)
     total, asked = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.expr(f"CAST(({is_query}) AS INT)")), F.lit(0))).first()
     parts = max(-(-total // block), min(spark.sparkContext.defaultParallelism, -(-total // SHARD)), 1)
     turns = max(-(-asked // query_block), 1)
-    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    turn = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(turns)).cast("int")
+    part = F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
+    turn = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(turns)).cast("int")
     everything = F.sequence(F.lit(0), F.lit(turns - 1))
-    candidates = rows.select(part.alias("part"), F.explode(everything).alias("turn"), "id", "v")
-    queries = rows.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), turn.alias("turn"), "id", "v")
+    candidates = rows.select(part.alias("part"), F.explode(everything).alias("turn"), "row", "id", "v")
+    queries = rows.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), turn.alias("turn"), "row", "id", "v")
 
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         return search_block(queries, candidates, k)
 
-    found = queries.groupBy("part", "turn").cogroup(candidates.groupBy("part", "turn")).applyInArrow(run, "query_id long, vec_id long, score long")
-    by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    found = queries.groupBy("part", "turn").cogroup(candidates.groupBy("part", "turn")).applyInArrow(run, "query_row long, query_id long, vec_id long, vec_row long, score long")
+    by_score = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "vec_row")
     return found.withColumn("rank", F.row_number().over(by_score).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
