@@ -17,19 +17,22 @@ def test_patience_alignment():
         assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
 
 
-def brute(docs, anchor=4, block=10):
-    """Every document against the first holder of each of its lines."""
+def brute(docs, block=10):
+    """Every document against every earlier one: the diagonals of equal lines."""
     norm = {k: [" ".join(x.split()) for x in t.split("\n")] for k, t in docs.items()}
-    first = {}
-    for k in sorted(docs):
-        for line in norm[k]:
-            if len(line.split()) >= anchor:
-                first.setdefault(line, k)
     out = {}
-    for k in docs:
+    for k, later in norm.items():
         gone = set()
-        for e in {first[x] for x in norm[k] if x in first} - {k}:
-            gone |= set(L.repeated(norm[k], norm[e], [len(x.split()) for x in norm[k]], block))
+        for e, earlier in norm.items():
+            for shift in range(-len(earlier), len(later)) if e < k else ():
+                run = []
+                for i in range(len(later) + 1):
+                    if i < len(later) and 0 <= i - shift < len(earlier) and later[i] == earlier[i - shift]:
+                        run.append(i)
+                    else:
+                        if sum(len(later[n].split()) for n in run) >= block:
+                            gone.update(run)
+                        run = []
         out[k] = sorted(gone)
     return out
 
@@ -68,18 +71,21 @@ def test_blocks_whose_lines_have_other_first_holders(spark):
     short = "\n".join(f"a{i} b{i} c{i}" for i in range(5))
     docs = {1: f"own one\n{one}\nmore of one", 2: f"own two\n{two}\nmore of two", 3: f"own three\n{one}\n{two}\nmore three", 4: f"own four\n{one}\n{two}\nmore four", 5: f"own five\n{short}\nmore five", 6: f"own six\n{short}\nmore six"}
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    got = {x.doc_id: x.removed for x in L.line_report(frame, windows=True).collect()}
+    got = {x.doc_id: x.removed for x in L.line_report(frame).collect()}
     assert got == {1: "", 2: "", 3: "", 4: "1,2", 5: "", 6: "1,2,3,4,5"}
     assert {x.doc_id: x.text for x in corpus_pipeline.line_stage(spark, frame, "").collect()}[4] == "own four\nmore four"
 
 
-def test_windows_against_all_earlier_documents(spark):
-    """All lines unlike within a document and in one order in all, so that no blocks cross."""
-    r = random.Random(6)
-    lines = [f"{i} " + " ".join("x" * r.randint(0, 7)) for i in range(40)]
-    docs = {i: "\n".join(x for x in lines[a : a + 10] if r.random() < 0.8) for i, a in enumerate(r.choices(range(30), k=100))}
-    split = {k: [" ".join(x.split()) for x in t.split("\n")] for k, t in docs.items()}
-    want = {k: sorted({i for e in docs if e < k for i in L.repeated(split[k], split[e], [len(x.split()) for x in split[k]], 10)}) for k in docs}
-    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    got = {x.doc_id: [int(i) for i in x.removed.split(",") if i] for x in L.line_report(frame, windows=True).collect()}
-    assert got == want != brute(docs)
+def test_copies_within_a_document_and_crossing_blocks(spark):
+    one, two = ("\n".join(f"{p} line {i} of some words" for i in range(6)) for p in "ab")
+    docs = {1: f"start one\n{one}\nmiddle\n{two}\nend one", 2: f"start two\n{two}\nbetween\n{one}\nend", 3: f"{one}\nx\n{one}\ny\n{one}"}
+    got = {x.doc_id: x.text.split("\n") for x in L.deduplicated(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert got[2] == ["start two", "between", "end"] and got[3] == ["x", "y"]
+
+
+def test_a_document_that_very_many_share(spark, monkeypatch):
+    monkeypatch.setattr(L, "PARTS", 7)
+    passage = "\n".join(f"line {i} of the one passage" for i in range(5))
+    docs = {i: f"own {i}\n{passage}\nand {i % 3} more of it than others have at all" for i in range(200)}
+    got = {x.doc_id: [int(i) for i in x.removed.split(",") if i] for x in L.line_report(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert got == brute(docs)

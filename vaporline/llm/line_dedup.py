@@ -1,21 +1,22 @@
 """Line deduplication by pairwise alignment.
 
-Lines are hashed, documents that share a line are paired, the pair's lines are aligned
-by patience diff, and blocks of aligned common lines are deleted from the later
-document, the one with the greater id.
-
-A rare line pairs few documents, a common one would pair all that have it. So every
-document is paired, through each of its lines, with one other only: the first document
-that has the line. That is a pair a line however common lines are. Lines of fewer than
-``anchor_words`` words occur everywhere and pair no documents; they are aligned and
-deleted within blocks. This alone misses blocks whose lines the first holders have
-apart, and blocks of short lines; with ``windows``, as the queries have it, documents
-are paired through each shortest run of lines with ``block_words`` words as well, from
-each line on and up to each line, short lines included: each line of a block that any
-earlier document has is in such a run within the block, so its first holder is paired.
-
-A block is a run of lines that are neighbours in both documents; it is deleted if it
-has at least ``block_words`` words. The first occurrence of a line is never deleted.
+Lines are hashed, documents that share a run of lines are paired, the pair's lines are
+aligned by patience diff, and blocks of common lines are deleted from the later document,
+the one with the greater id. A block is a run of lines that are neighbours in both
+documents; it is deleted if it has at least ``block_words`` words.
+
+A rare line or run of lines pairs few documents, a common one would pair all that have
+it. So every document is paired, through each of its shortest runs of ``block_words``
+words, from each line on and up to each line, with one other only: the first document
+that has the run. That is a pair a run however common runs are, and it loses nothing:
+every line of a block that any earlier document has is in such a run within the block,
+and the run's first holder has it too.
+
+An alignment keeps the order and takes each line once, so it leaves blocks that cross
+others and the second of two copies within a document. Runs that it leaves are looked up
+in the earlier document, each at the places of its rarest line there. So the lines that
+go are those of all common blocks with all earlier documents, whichever way the alignment
+went. The first occurrence of a block is never deleted.
 
 Defined results: lines end at line feeds and are compared with runs of white space as
 one space and none at the ends; a null text has no lines and stays null; null ids come
@@ -39,8 +40,9 @@ from pyspark.sql import functions as F
 
 from vaporline.llm.common import SPACE, WORD, fresh, join_counted, ready, settle
 
-ANCHOR_WORDS = 4
 BLOCK_WORDS = 10
+#: A document's key.
+KEY = "struct<none:boolean,id:long,hash:long>"
 #: Into how many parts the pairs of a document that all others share are dealt.
 PARTS = 256
 
@@ -94,15 +96,25 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 def repeated(later: list, earlier: list, words: list[int], block_words: int) -> list[int]:
     """Positions of the later document's lines in common blocks of enough words."""
-    out, block, before = [], [], (-2, -2)
+    out: set[int] = set()
+    block, before = [], (-2, -2)
     for i, j in [*patience(later, earlier), (-9, -9)]:
         if (i, j) != (before[0] + 1, before[1] + 1):
             if sum(words[k] for k in block) >= block_words:
-                out += block
+                out.update(block)
             block = []
         block.append(i)
         before = (i, j)
-    return out
+    where: dict = {}
+    for i, k in shortest_runs(words, block_words):
+        if any(n not in out for n in range(i, k)):
+            if not where:
+                for at, line in enumerate(earlier):
+                    where.setdefault(line, []).append(at)
+            rarest = min(range(i, k), key=lambda n: len(where.get(later[n], ())))
+            if any(earlier[at - rarest + i : at - rarest + k] == later[i:k] for at in where.get(later[rarest], ()) if at >= rarest - i):
+                out.update(range(i, k))
+    return sorted(out)
 
 
 def shortest_runs(words: list[int], block_words: int) -> set[tuple[int, int]]:
@@ -130,7 +142,7 @@ def hashed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def run_hashes(lines: DataFrame, block_words: int) -> DataFrame:
-    """(doc, line): hashes of the shortest runs of two or more lines of each document."""
+    """(doc, run): hashes of the shortest runs of lines of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -139,56 +151,58 @@ def run_hashes(lines: DataFrame, block_words: int) -> DataFrame:
             at, found = [], []
             for n, (hashes, words) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
                 each = np.array(hashes.as_py(), np.int64)
-                some = {xxh64_intdigest(each[i:k].tobytes()) for i, k in shortest_runs(words.as_py(), block_words) if k - i > 1}
+                some = {xxh64_intdigest(each[i:k].tobytes()) for i, k in shortest_runs(words.as_py(), block_words)}
                 at += [n] * len(some)
                 found += some
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc", "line"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc", "run"])
 
-    return lines.select("doc", "lines", "words").mapInArrow(run, "doc struct<none:boolean,id:long,hash:long>, line long")
+    return lines.select("doc", "lines", "words").mapInArrow(run, f"doc {KEY}, run long")
 
 
-def candidate_pairs(lines: DataFrame, anchor_words: int, run_words: int | None = None) -> DataFrame:
-    """(later, earlier): each document with the first one of each of its lines, and of
-    each of its shortest runs with run_words words if that is given."""
-    anchors = F.array_distinct(F.filter("lines", lambda x, i: F.get(F.col("words"), i) >= anchor_words))
-    each = lines.select("doc", F.explode(anchors).alias("line"))
-    if run_words is not None:
-        alone = F.array_distinct(F.filter("lines", lambda x, i: F.get(F.col("words"), i).between(run_words, anchor_words - 1)))
-        each = each.unionByName(lines.select("doc", F.explode(alone).alias("line"))).unionByName(run_hashes(lines, run_words))
-    first = each.groupBy("line").agg(F.min("doc").alias("earlier"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = settle(first)
+def candidate_pairs(lines: DataFrame, block_words: int) -> DataFrame:
+    """(later, earlier): each document with the first one of each of its shortest runs."""
+    each = run_hashes(lines, block_words)
+    first = settle(each.groupBy("run").agg(F.min("doc").alias("earlier"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return join_counted(each, first, "line", "n", total).where("doc <> earlier").select(F.col("doc").alias("later"), "earlier").distinct()
+    return join_counted(each, first, "run", "n", total).where("doc <> earlier").select(F.col("doc").alias("later"), "earlier").distinct()
 
 
-def deletions(lines: DataFrame, *, anchor_words: int = ANCHOR_WORDS, block_words: int = BLOCK_WORDS, windows: bool = False) -> DataFrame:
+def deletions(lines: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc, gone): positions, from 0 and ascending, of each document's lines that an
-    earlier document has in an aligned block; only documents with any."""
-    pairs = settle(candidate_pairs(lines, anchor_words, block_words if windows else None))
-    total = pairs.count()
-    often = pairs.groupBy("earlier").agg(F.count(F.lit(1)).alias("n"))
-    # An early document that very many share is dealt out: its lines go to several tasks.
-    shares = F.greatest(F.lit(1), F.ceil(F.col("n") * PARTS / F.lit(max(total, 1)))).cast("int")
-    dealt = join_counted(pairs, often, "earlier", "n", total).select("later", "earlier", F.pmod(F.xxhash64("later"), shares).cast("int").alias("share"))
-    sides = lines.join(often, lines.doc == often.earlier).select("earlier", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.col("lines").alias("earlier_lines"))
-    both = dealt.join(lines.select(F.col("doc").alias("later"), "lines", "words"), "later").join(sides, ["earlier", "share"]).select("later", "lines", "words", "earlier_lines")
+    earlier document has in a common block; only documents with any.
+
+    An early document that very many share is dealt out to several tasks; each has its
+    lines once, before the later documents that it is aligned with."""
+    pairs = settle(candidate_pairs(lines, block_words))
+    total = max(pairs.count(), 1)
+    shares = F.greatest(F.lit(1), F.ceil(F.col("n") * PARTS / F.lit(total))).cast("int")
+    often = settle(pairs.groupBy("earlier").agg(F.count(F.lit(1)).alias("n")).withColumn("shares", shares))
+    dealt = join_counted(pairs, often, "earlier", "n", total).select("later", "earlier", F.pmod(F.xxhash64("later"), F.col("shares")).cast("int").alias("share"))
+    laters = dealt.join(lines.withColumnRenamed("doc", "later"), "later").select("earlier", "share", "later", "lines", "words")
+    sides = lines.join(often, lines.doc == often.earlier).select("earlier", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast(KEY).alias("later"), "lines", F.lit(None).cast("array<int>").alias("words"))
+    both = sides.unionByName(laters).repartition("earlier", "share").sortWithinPartitions("earlier", "share", F.col("later").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: list = []
         for batch in batches:
-            later, a, words, b = batch.columns
-            found = [repeated(x.as_py(), y.as_py(), w.as_py(), block_words) for x, w, y in zip(a, words, b, strict=True)]
+            _, _, later, lines, words = batch.columns
+            found = []
+            for x, w in zip(lines, words, strict=True):
+                if not w.is_valid:  # the lines of the earlier document of the rows that follow
+                    first = x.as_py()
+                found.append(repeated(x.as_py(), first, w.as_py(), block_words) if w.is_valid else None)
             yield pa.RecordBatch.from_arrays([later, pa.array(found, pa.list_(pa.int32()))], ["doc", "gone"])
 
-    found = both.mapInArrow(run, "doc struct<none:boolean,id:long,hash:long>, gone array<int>")
-    return found.select("doc", F.explode("gone").alias("gone")).distinct().groupBy("doc").agg(F.sort_array(F.collect_list("gone")).alias("gone"))
+    found = both.mapInArrow(run, f"doc {KEY}, gone array<int>").where("size(gone) > 0")
+    return found.groupBy("doc").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
-def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = ANCHOR_WORDS, block_words: int = BLOCK_WORDS, windows: bool = False) -> DataFrame:
+def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row a document: doc_id, n_lines, n_removed, words_removed and removed, the
     positions of the lines that go, joined by commas."""
     ready(docs.sparkSession)
     lines = settle(hashed_lines(docs, id_col, text_col))
-    gone = deletions(lines, anchor_words=anchor_words, block_words=block_words, windows=windows)
+    gone = deletions(lines, block_words)
     none = F.coalesce(F.col("gone"), F.array().cast("array<int>"))
     per_doc = lines.join(gone, "doc", "left").select("doc", F.size("lines").cast("long").alias("n_lines"), F.size(none).cast("long").alias("n_removed"), F.aggregate(none, F.lit(0).cast("long"), lambda s, i: s + F.get(F.col("words"), i)).alias("words_removed"), F.array_join(none.cast("array<string>"), ",").alias("removed"))
     times = docs.groupBy(document_key(id_col, text_col).alias("doc")).agg(F.count(F.lit(1)).alias("times"))
@@ -196,12 +210,12 @@ def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return rows.select(F.when(~F.col("doc.none"), F.col("doc.id")).alias("doc_id"), "n_lines", "n_removed", "words_removed", "removed")
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = ANCHOR_WORDS, block_words: int = BLOCK_WORDS, windows: bool = False, drop_emptied: bool = True) -> DataFrame:
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, drop_emptied: bool = True) -> DataFrame:
     """The documents, with all columns, without the lines that earlier ones have."""
     ready(docs.sparkSession)
     lines = settle(hashed_lines(docs, id_col, text_col))
     key, gone = fresh(docs, "key_of_lines", "lines_gone")
-    found = deletions(lines, anchor_words=anchor_words, block_words=block_words, windows=windows).select(F.col("doc").alias(key), F.col("gone").alias(gone))
+    found = deletions(lines, block_words).select(F.col("doc").alias(key), F.col("gone").alias(gone))
     rows = docs.withColumn(key, document_key(id_col, text_col)).join(found, key, "left")
     split = F.split(F.col(text_col), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))

@@ -20,7 +20,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(_table(spark, sf_dir, "documents").select("doc_id", "text"), windows=True)
+    return line_dedup.line_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op3_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +116,30 @@ SELECT doc_id, size, source_size, target,
 FROM rated
 """
 
+OP2_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(generate_series(0, len(x) - 1)) AS i, unnest(x) AS line
+  FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda s: trim(regexp_replace(s, '[\x20\x09-\x0D]+', ' ', 'g'))) AS x FROM documents)
+), w AS (
+  SELECT *, CAST(len(regexp_extract_all(line, '[^\x20]+')) AS BIGINT) AS words FROM l
+), common AS (
+  SELECT a.doc_id, b.doc_id AS earlier, a.i, a.i - b.i AS diagonal, a.words
+  FROM w a JOIN w b ON a.line = b.line AND b.doc_id < a.doc_id
+), islands AS (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id, earlier, diagonal ORDER BY i) AS island FROM common
+), blocks AS (
+  SELECT doc_id, i, sum(words) OVER (PARTITION BY doc_id, earlier, diagonal, island) AS n FROM islands
+), gone AS (
+  SELECT DISTINCT doc_id, i FROM blocks WHERE n >= 10
+), removed AS (
+  SELECT g.doc_id, CAST(count(*) AS BIGINT) AS n_removed, CAST(sum(words) AS BIGINT) AS words_removed, string_agg(CAST(g.i AS VARCHAR), ',' ORDER BY g.i) AS removed
+  FROM gone g JOIN w ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY g.doc_id
+)
+SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS BIGINT) AS n_lines,
+  coalesce(n_removed, 0) AS n_removed, coalesce(words_removed, 0) AS words_removed, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN removed r ON r.doc_id = d.doc_id
+"""
+
 OP3_SQL = r"""
 WITH vectors AS (
   SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -161,4 +185,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op3_maxscore": OP3_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_maxscore": OP3_SQL, "op5_exact_dedup": OP5_SQL}
