@@ -4,8 +4,6 @@ import random
 from collections import Counter
 from itertools import combinations
 
-import pyarrow as pa
-
 import corpus_pipeline
 from vaporline.llm import near_copies as N
 
@@ -64,18 +62,43 @@ def test_any_order_of_shingles_finds_all(spark, monkeypatch):
     assert {x.doc_id for x in N.kept_rows(frame).collect()} == brute(docs)
 
 
-def test_portions_hold_whole_groups(monkeypatch):
-    monkeypatch.setattr(N, "AT_ONCE", 64)
-    r = random.Random(5)
-    rows = sorted({(r.choice((0, 1, 2, *range(90))), r.randrange(40)) for _ in range(600)})
-    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*[(s, k, 10) for s, k in rows[i : i + 7]])], ["shingle", "key", "n"]) for i in range(0, len(rows), 7)]
-    got = Counter()
-    for portion in N.whole_groups(iter(batches)):
-        for a, b, least, shared in N.within(*portion):
-            assert set(least) == {2}  # an overlap of 9 and 7 behind the prefix
-            for x in zip(a.tolist(), b.tolist(), shared.tolist()):
-                got[x[:2]] += x[2]
-    assert got == Counter((k, m) for s, k in rows for t, m in rows if s == t and k < m)
+def test_without_neighbours_and_in_blocks(spark, monkeypatch):
+    """The search of the trees alone finds all, in groups dealt into blocks, too."""
+    docs = made(random.Random(5))
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    monkeypatch.setattr(N, "TURNS", ())
+    assert {x.doc_id for x in N.kept_rows(frame).collect()} == brute(docs)
+    monkeypatch.setattr(N, "GROUP_LIMIT", 2)
+    assert {x.doc_id for x in N.kept_rows(frame).collect()} == brute(docs)
+
+
+def test_large_groups_give_few_pairs(spark):
+    """Variants of one text: what is compared grows with the sets, not with their pairs."""
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    docs = {}
+    for i in range(400):
+        text = list(base)
+        for _ in range(r.randint(1, 4)):
+            text[r.randrange(150)] = f"x{r.randrange(1000)}"
+        docs[i] = " ".join(text)
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    texts = frame.selectExpr("doc_id", "xxhash64(text) AS text_hash", "text")
+    rows = N.described(texts, *N.common_shingles(texts, 400, 5), 5)
+    found = N.links(rows, texts)
+    assert found.count() < 5 * 400
+    assert {x.doc_id for x in N.kept_rows(frame).collect()} == brute(docs)
+
+
+def test_shared_shingles_over_batches(spark):
+    r = random.Random(7)
+    rows = [(k, [r.choice((0, 1, 2, *range(90))) for _ in range(8)]) for k in range(60)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    got = N.held_by_several(spark.createDataFrame(rows, "fp long, prefix array<long>")).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    held = {(s, k) for k, each in rows for s in each}
+    several = {s for s, n in Counter(s for s, _ in held).items() if n > 1}
+    assert sorted((x.shingle, x.fp) for x in got) == sorted(x for x in held if x[0] in several)
 
 
 def test_awkward_documents(spark):

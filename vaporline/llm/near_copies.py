@@ -1,21 +1,35 @@
-"""Groups of near copies by exact Jaccard similarity of word shingles.
+"""Groups of near copies: SimHash's Gray-order index where a link is a similarity.
 
 Two texts are linked if the sets of their five-word shingles have a Jaccard similarity
-of at least 4/5; the connected components are the groups. Every such pair is found:
-in any one order of all shingles, the first n - ceil(4n/5) + 1 shingles of a set of n
-(its prefix) share one with the prefix of each set that is so similar. What two sets
-share up to the end of the prefix that ends first is shared by the prefixes; so the
-overlap is at most what the prefixes share and what that set has behind its prefix.
-Sets whose sizes and shared prefixes allow the similarity are candidates, and each
-candidate is held against the whole sets.
-
-The order decides the work, not the result: shingles that are common in a sample of
-the documents come last, so that few prefixes have them; the others are in the order
-of their hashes. Texts of equal sets are one node from the start.
-
-Defined results: words are as in ``simhash.fingerprint``; a text of fewer words than a
-shingle has is one shingle; a null text counts as empty; texts without words have the
-empty set and are one group; ids and extra columns are as in ``simhash.classes``.
+of at least 4/5; the connected components are the groups. Fingerprints of such sets
+differ in 0 to some 20 of 64 bits, so that bands of equal bits (``simhash.grouped``) would
+put nearly everything together. The index is built within other groups instead, which
+are exact: in any one order of all shingles, the first n - ceil(4n/5) + 1 shingles of a
+set of n (its prefix) share one with the prefix of each set that is so similar. So the
+sets whose prefixes share a shingle are a group.
+
+No group gives all its pairs. First, in several orders by Gray rank, each set is held
+against its nearest neighbour in the order, and what is similar is joined; that is at
+most one comparison a set and order, and it joins nearly all of a large group of near
+copies. Then each group's Gray-order tree is searched for pairs of sets that aren't in
+one component yet; subtrees in the component of the searching set are left whole, like
+those that differ in more than MOST_BITS bits. Of these pairs, those whose sizes and
+shared prefixes allow the similarity are held against each other: what two sets share up
+to the end of the prefix that ends first is shared by the prefixes, so the overlap is at
+most what the prefixes share and what that set has behind its prefix. Every comparison
+is of the whole sets. So no link between components is lost but those of more than
+MOST_BITS bits: at a similarity of 4/5, 9.5 bits are expected, with a deviation of 2.8,
+so that fewer than one pair in 10**7 has more than 26.
+
+The order of shingles decides the work, not the result: those that are common in a
+sample of the documents come last, so that few prefixes have them; the others are in the
+order of their hashes. Texts of equal sets are one node from the start. A group of more
+than GROUP_LIMIT sets is dealt into blocks, and the tree is built over each pair of them.
+
+Defined results: words are as in ``simhash.fingerprint``, but each shingle counts once;
+a text of fewer words than a shingle has is one shingle; a null text counts as empty;
+texts without words have the empty set and are one group; ids and extra columns are as
+in ``simhash.classes``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,18 +38,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaporline.llm.common import ready, settle, text_of
-from vaporline.llm.simhash import AT_ONCE, SEED, joined_classes, kept_of
+from vaporline.llm.components import components
+from vaporline.llm.simhash import AT_ONCE, SEED, GrayTree, bit_counts, joined_classes, kept_of, majority, signed, whole_groups
 
 SHINGLE_WORDS = 5
+#: Fingerprints of similar sets differ in no more bits than this, neighbours that are
+#: tried first in no more than the second.
+MOST_BITS, NEAR_BITS = 26, 16
+#: By how many bits fingerprints are turned before their Gray rank is taken.
+TURNS = (0, 16, 32, 48)
+#: Sets of a group, or of a block of a larger one.
+GROUP_LIMIT = 1 << 15
 #: Documents in the sample that common shingles are known from, and the most that are.
 SAMPLE = 10_000
 MOST_COMMON = 200_000
-#: Up to so many keys are broadcast, more are joined by shuffle.
-BROADCAST_KEYS = 1_000_000
 
 
 def shingles(text: str, width: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
@@ -56,8 +76,7 @@ def key_of(found: np.ndarray) -> int:
     """What names a set: a hash of it, signed."""
     from xxhash import xxh64_intdigest
 
-    key = xxh64_intdigest(found.tobytes())
-    return key - (1 << 64) if key >> 63 else key
+    return signed(xxh64_intdigest(found.tobytes()))
 
 
 def prefix(found: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
@@ -65,7 +84,7 @@ def prefix(found: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarr
     if len(common) and len(found):
         at = np.minimum(np.searchsorted(common, found), len(common) - 1)
         found = found[np.argsort(np.where(common[at] == found, often[at], 0), kind="stable")]
-    return found[: len(found) - (4 * len(found) + 4) // 5 + 1]
+    return found[: len(found) - (4 * len(found) + 4) // 5 + 1] if len(found) else found
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -73,19 +92,6 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
-def keyed(docs: DataFrame, text_col: str, width: int, id_col: str | None = None) -> DataFrame:
-    """(doc_id, text_hash, fp), where fp names the text's set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [key_of(shingles(t.as_py(), width)) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], ["doc_id", "text_hash", "fp"])
-
-    text = text_of(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
-
-
 def common_shingles(texts: DataFrame, total: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several documents of a sample have, ascending, and how many."""
 
@@ -94,7 +100,7 @@ def common_shingles(texts: DataFrame, total: int, width: int) -> tuple[np.ndarra
             for t in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), width).view(np.int64))], ["shingle"])
 
-    chosen = texts.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(max(total, 1))) < SAMPLE)
+    chosen = texts.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(max(total, 1))) < SAMPLE).select("text")
     counts = chosen.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
     found = counts.orderBy(F.col("n").desc(), "shingle").limit(MOST_COMMON).toPandas()
     common = found["shingle"].to_numpy(np.int64).view(np.uint64)
@@ -102,93 +108,140 @@ def common_shingles(texts: DataFrame, total: int, width: int) -> tuple[np.ndarra
     return common[order], found["n"].to_numpy(np.int64)[order]
 
 
-def candidates(texts: DataFrame, common: np.ndarray, often: np.ndarray, width: int) -> DataFrame:
-    """(a, b): keys of sets, a below b, whose sizes and shared prefixes allow the
-    similarity."""
+def described(texts: DataFrame, common: np.ndarray, often: np.ndarray, width: int) -> DataFrame:
+    """(doc_id, text_hash, fp, n, bits, prefix) of rows (doc_id, text_hash, text): fp names
+    the text's set, n is its size, bits its fingerprint. A task gives a set's prefix once."""
     held = texts.sparkSession.sparkContext.broadcast((common, often))
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = held.value
+        seen: set[int] = set()
         for batch in batches:
-            for t in batch.column(0):
+            keys, sizes, bits, first = [], [], [], []
+            for t in batch.column(2):
                 found = shingles(t.as_py(), width)
-                some = prefix(found, common, often)
-                if len(found):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(some.view(np.int64)), pa.array(np.full(len(some), key_of(found), np.int64)), pa.array(np.full(len(some), len(found), np.int32))],
-                        ["shingle", "key", "n"],
-                    )
+                keys.append(key_of(found))
+                sizes.append(len(found))
+                bits.append(signed(majority(bit_counts(found), len(found))))
+                first.append([] if keys[-1] in seen else prefix(found, common, often).view(np.int64))
+                seen.add(keys[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "text_hash", "fp", "n", "bits", "prefix"])
+
+    return texts.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, fp long, n long, bits long, prefix array<long>")
+
+
+def held_by_several(rows: DataFrame) -> DataFrame:
+    """(shingle, fp): the shingles that several sets' prefixes have, with these sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for portion in whole_groups(batches):
-            for found in within(*portion):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "least", "shared"])
-
-    rows = texts.mapInArrow(first, "shingle long, key long, n int")
-    shared = rows.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(run, "a long, b long, least long, shared long")
-    return shared.groupBy("a", "b", "least").agg(F.sum("shared").alias("shared")).where("shared >= least").select("a", "b")
-
-
-def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns in portions that end where the first column's value does."""
-    kept: list[list[np.ndarray]] = []
-    rows, most = 0, AT_ONCE // 4
-    for batch in batches:
-        if batch.num_rows:
-            kept.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            rows += batch.num_rows
-        if rows >= most:
-            every = [np.concatenate(x) for x in zip(*kept, strict=True)]
-            cut = np.searchsorted(every[0], every[0][-1])
-            if cut:
-                yield [x[:cut] for x in every]
-            kept, rows = [[x[cut:] for x in every]], len(every[0]) - cut
-            most = max(AT_ONCE // 4, 2 * rows)
-    if rows:
-        yield [np.concatenate(x) for x in zip(*kept, strict=True)]
-
-
-def within(shingle: np.ndarray, key: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """From rows in the order of (shingle, key): pairs of keys whose sizes allow the
-    similarity, the least number of shingles that their prefixes then share, and how
-    many these rows have; in portions."""
-    new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1])])
-    shingle, key, n = shingle[new], key[new], n[new].astype(np.int64)
-    at, step, found, size = np.arange(len(shingle)), 0, [], 0
-    while len(at):
-        step += 1
-        at = at[at + step < len(shingle)]
-        at = at[shingle[at] == shingle[at + step]]
-        both, large = n[at] + n[at + step], np.maximum(n[at], n[at + step])
-        may = 9 * (both - large) >= 4 * both
-        if may.any():
-            least = (4 * both + 8) // 9 - (4 * large + 4) // 5 + 1
-            found.append((key[at[may]], key[at[may] + step], least[may]))
-            size += len(found[-1][0])
-        if size >= AT_ONCE // 4 or (found and not len(at)):
-            a, b, least = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((b, a))
-            a, b, least = a[order], b[order], least[order]
-            starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            yield a[starts], b[starts], least[starts], np.diff(np.append(starts, len(a)))
-            found, size = [], 0
-
-
-def links(texts: DataFrame, total: int, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(a, b): all pairs of unequal sets of a Jaccard similarity of at least 4/5."""
-    pairs = settle(candidates(texts, *common_shingles(texts, total, width), width))
-    need = settle(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+        # Rows come in order; the last one is held back until the next shows what it is.
+        shingle, fp, joined = np.empty(0, np.int64), np.empty(0, np.int64), False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shingle, fp = (np.concatenate([held, c.to_numpy(zero_copy_only=False)]) for held, c in zip((shingle, fp), batch.columns, strict=True))
+            new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (fp[1:] != fp[:-1])])
+            shingle, fp = shingle[new], fp[new]
+            same = shingle[1:] == shingle[:-1]
+            keep = np.concatenate([[joined], same]) | np.concatenate([same, [False]])
+            joined = bool(keep[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[:-1][keep[:-1]]), pa.array(fp[:-1][keep[:-1]])], ["shingle", "fp"])
+            shingle, fp = shingle[-1:], fp[-1:]
+        if joined:
+            yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(fp)], ["shingle", "fp"])
+
+    every = rows.select(F.explode("prefix").alias("shingle"), "fp")
+    return every.repartition("shingle").sortWithinPartitions("shingle", "fp").mapInArrow(run, "shingle long, fp long")
+
+
+def gray_rank(bits: Column, turn: int) -> Column:
+    """The place of a fingerprint, turned by some bits, in the order of the Gray code."""
+    rank = bits if not turn else F.shiftleft(bits, turn).bitwiseOR(F.shiftrightunsigned(bits, 64 - turn))
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
+    return rank
+
+
+def labelled(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The rows with root, the component of their set so far."""
+    if roots is None:
+        return shared.withColumn("root", F.col("fp"))
+    return shared.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def neighbours(shared: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
+    """(a, b): each set with the nearest of its neighbours by Gray rank, if it is of
+    another component and size and bits allow the similarity. At most one pair a set."""
+    order = Window.partitionBy("shingle", "block").orderBy("rank", "fp")
+    rows = labelled(shared, roots).withColumn("rank", gray_rank(F.col("bits"), turn))
+    rows = rows.select("fp", "n", "bits", "root", F.lag(F.struct("fp", "n", "bits", "root")).over(order).alias("to"))
+    both, far = F.col("n") + F.col("to.n"), F.bit_count(F.col("bits").bitwiseXOR(F.col("to.bits")))
+    may = (F.col("root") != F.col("to.root")) & (far <= NEAR_BITS) & (9 * F.least("n", "to.n") >= 4 * both)
+    pairs = rows.where(may).select(F.col("fp").alias("a"), F.col("to.fp").alias("b"), far.alias("far"))
+    pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
+    best = pairs.groupBy("a").agg(F.min(F.struct("far", "b")).alias("best"))
+    return best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
+
+
+def across(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(a, b): all pairs of sets of different components whose bits, sizes and shared
+    prefixes allow the similarity, by the tree of each group or pair of blocks."""
+    rows = labelled(shared, roots).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fp", "n", "bits", "root")
+    rows = rows.withColumn("pattern", F.xxhash64("low", "high"))  # of one shingle, few and unlike
+    rows = rows.select("shingle", "pattern", "bits", "fp", "n", "root", "block", (F.col("low") < F.col("high")).alias("two"))
+    rows = rows.repartition("shingle", "pattern").sortWithinPartitions("shingle", "pattern", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shingle, pattern, bits, fp, n, root, block, two in whole_groups(batches):
+            group = np.cumsum(np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (pattern[1:] != pattern[:-1])])) - 1
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            open_ = (np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts))[group]  # of several components
+            if not open_.any():
+                continue
+            bits, fp, n, root, block, two, group = (x[open_] for x in (bits, fp, n, root, block, two, group))
+            tree = GrayTree(group, bits.view(np.uint64), labels=root)
+            for x, y in counted(tree, fp[tree.order], n[tree.order], block[tree.order], two[tree.order]):
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (*x, *y))], ["a", "b", "least", "shared"])
+
+    found = rows.mapInArrow(run, "a long, b long, least long, shared long")
+    return found.groupBy("a", "b", "least").agg(F.sum("shared").alias("shared")).where("shared >= least").select("a", "b")
+
+
+def counted(tree: GrayTree, fp: np.ndarray, n: np.ndarray, block: np.ndarray, two: np.ndarray) -> Iterator[tuple]:
+    """Of a tree's pairs whose sizes allow the similarity: (a, b), the least number of
+    shingles that their prefixes then share, and in how many of its groups they are."""
+    for i, j in tree.pairs(MOST_BITS):
+        both, large = n[i] + n[j], np.maximum(n[i], n[j])
+        may = (9 * (both - large) >= 4 * both) & (~two[i] | (block[i] != block[j]))
+        if not may.any():
+            continue
+        i, j, both, large = i[may], j[may], both[may], large[may]
+        least = (4 * both + 8) // 9 - (4 * large + 4) // 5 + 1
+        a, b = np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])
+        order = np.lexsort((b, a))
+        a, b, least = a[order], b[order], least[order]
+        starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        yield (a[starts], b[starts]), (least[starts], np.diff(np.append(starts, len(a))))
+
+
+def held_against(pairs: DataFrame, texts: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar. Only the texts of these sets are
+    read by Python: of each set the one with the smallest hash."""
+    need = settle(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(sets.select("fp", "text_hash"), "fp").select("text_hash"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            found = [shingles(t.as_py(), width) for t in batch.column(0)]
-            for f in found:
-                yield pa.RecordBatch.from_arrays([pa.array([key_of(f)], pa.int64()), pa.array([f.view(np.int64)], pa.list_(pa.int64()))], ["key", "every"])
+            for h, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if h not in seen:
+                    seen.add(h)
+                    found = shingles(t.as_py(), width)
+                    yield pa.RecordBatch.from_arrays([pa.array([key_of(found)], pa.int64()), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], ["key", "every"])
 
-    sets = texts.mapInArrow(whole, "key long, every array<long>")
-    sets = sets.join(F.broadcast(need) if need.count() <= BROADCAST_KEYS else need, "key", "left_semi")
-    sets = settle(sets.groupBy("key").agg(F.first("every").alias("every")))
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("every").alias("of_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("every").alias("of_b")), "b").select("a", "b", "of_a", "of_b")
+    every = texts.select("text_hash", "text").join(need, "text_hash", "left_semi").mapInArrow(whole, "key long, every array<long>")
+    every = settle(every.groupBy("key").agg(F.first("every").alias("every")))
+    both = pairs.join(every.select(F.col("key").alias("a"), F.col("every").alias("of_a")), "a").join(every.select(F.col("key").alias("b"), F.col("every").alias("of_b")), "b").select("a", "b", "of_a", "of_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,12 +249,39 @@ def links(texts: DataFrame, total: int, width: int = SHINGLE_WORDS) -> DataFrame
             keep = pa.array([similar(p.values.to_numpy(), q.values.to_numpy()) for p, q in zip(x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return settle(both.mapInArrow(run, "a long, b long"))
+
+
+def links(rows: DataFrame, texts: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
+    """(a, b): pairs of similar sets that connect all similar ones; rows as of ``described``."""
+    sets = settle(rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("text_hash").alias("text_hash")))
+    shared = held_by_several(rows).join(sets.select("fp", "n", "bits"), "fp").select("shingle", "fp", "n", "bits")
+    shared = settle(shared)
+    large = settle(shared.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > GROUP_LIMIT).select("shingle", F.ceil(F.col("held") / GROUP_LIMIT).cast("int").alias("blocks")))
+    shared = shared.withColumn("blocks", F.lit(1)) if large.isEmpty() else settle(shared.join(large, "shingle", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))))
+    shared = shared.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    found = roots = None
+    for turn in TURNS:
+        pairs = settle(neighbours(shared, roots, turn))
+        if pairs.isEmpty():
+            continue
+        near = held_against(pairs, texts, sets, width)
+        if not near.isEmpty():
+            found = near if found is None else found.unionByName(near)
+            roots = settle(components(found))
+    pairs = settle(across(shared, roots))
+    if not pairs.isEmpty() or found is None:
+        last = held_against(pairs, texts, sets, width)
+        found = last if found is None else found.unionByName(last)
+    return found
 
 
 def kept_rows(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group with all its columns, chosen as by ``simhash.kept_rows``."""
     ready(docs.sparkSession)
-    rows = settle(keyed(docs, text_col, shingle_words, id_col))
-    linked = links(docs.select(text_of(text_col).alias("text")), rows.count(), shingle_words)
-    return kept_of(docs, joined_classes(rows, lambda _: linked), id_col, text_col)
+    text = text_of(text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    common, often = common_shingles(texts, docs.count(), shingle_words)
+    rows = settle(described(texts, common, often, shingle_words))
+    found = joined_classes(rows.select("doc_id", "text_hash", "fp"), lambda _: links(rows, texts, shingle_words))
+    return kept_of(docs, found, id_col, text_col)

@@ -60,10 +60,23 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS, seed: int = SEED)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(starts), AT_ONCE):
         hashes = array("Q", [xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[at : at + AT_ONCE].tolist(), ends[at : at + AT_ONCE].tolist(), strict=True)])
-        bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bit_counts(np.frombuffer(hashes, np.uint64))
+    return majority(ones, len(starts))
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each of the 64 bits is set."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), AT_ONCE):
+        bits = np.unpackbits(hashes[at : at + AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         for part in range(0, len(bits), 255):  # sums of so many bits fit a byte
             ones += bits[part : part + 255].sum(axis=0, dtype=np.uint8)
-    return int.from_bytes(np.packbits(2 * ones > len(starts), bitorder="little").tobytes(), "little")
+    return ones
+
+
+def majority(ones: np.ndarray, total: int) -> int:
+    """The fingerprint whose bits are set in over half of the hashes, unsigned."""
+    return int.from_bytes(np.packbits(2 * ones > total, bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,8 +132,9 @@ def grouped(distinct: DataFrame, most_bits: int, limit: int = GROUP_LIMIT) -> Da
 class GrayTree:
     """The hierarchical index over the fingerprints of one or more groups."""
 
-    def __init__(self, group: np.ndarray, fps: np.ndarray, fan: int = FAN):
-        """group: ascending; fps: unsigned, distinct within a group."""
+    def __init__(self, group: np.ndarray, fps: np.ndarray, fan: int = FAN, labels: np.ndarray | None = None):
+        """group: ascending; fps: unsigned; labels: pairs of equal labels aren't sought,
+        and a node whose leaves all have the searching one's label is left."""
         rank = fps.copy()
         for shift in (1, 2, 4, 8, 16, 32):
             rank ^= rank >> np.uint64(shift)
@@ -128,6 +142,10 @@ class GrayTree:
         self.fps, group = fps[order], group[order]
         self.order = order
         leaf = np.arange(len(fps) + 1)
+        self.labels = None if labels is None else labels[order]
+        #: Of each level, the least and the greatest label below each node.
+        self.spans: list = []
+        low = high = self.labels
         #: Of each level from the leaves up: where a node's children start, its leaves' end, bits in which these agree, their pattern.
         self.levels = []
         every, some, ends, of = self.fps, self.fps, leaf[1:], group
@@ -139,6 +157,9 @@ class GrayTree:
             ends, of = ends[np.append(starts[1:], len(ends)) - 1], of[starts]
             agreed = ~(every ^ some)
             self.levels.append((np.append(starts, len(place)), ends, agreed, every & agreed))
+            if labels is not None:
+                low, high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
+                self.spans.append((low, high))
             if len(np.unique(of)) == len(of):
                 break
         sizes = np.diff(np.append(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), len(group)))
@@ -165,11 +186,16 @@ class GrayTree:
                 _, ends, agreed, pattern = self.levels[level - 1]
                 far = far + np.bitwise_count((self.fps[query] ^ pattern[child]) & agreed[child] & ~above)
                 keep = (far <= most_bits) & (ends[child] > query + 1)  # else all below are too far, or searched for this one before
+                if self.labels is not None:
+                    low, high = self.spans[level - 1]
+                    keep &= (low[child] != high[child]) | (low[child] != self.labels[query])
                 if keep.any():
                     todo.append((level - 1, query[keep], child[keep], far[keep]))
             else:
                 far = far + np.bitwise_count((self.fps[query] ^ self.fps[child]) & ~above)
                 keep = (far <= most_bits) & (child > query)
+                if self.labels is not None:
+                    keep &= self.labels[query] != self.labels[child]
                 if keep.any():
                     yield query[keep], child[keep]
 
@@ -212,12 +238,13 @@ def links(distinct: DataFrame, most_bits: int = MOST_BITS, limit: int = GROUP_LI
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns (mask, pattern, fp) in portions that end where a group ends."""
+    """Columns, the first two of which name a group (mask, pattern, fp), in portions that
+    end where a group ends."""
     kept: list[tuple[np.ndarray, ...]] = []
     rows = 0
 
     def joined() -> tuple[np.ndarray, ...]:
-        return tuple(np.concatenate([x[i] for x in kept]) for i in range(3))
+        return tuple(map(np.concatenate, zip(*kept, strict=True)))
 
     for batch in batches:
         if not batch.num_rows:
@@ -225,12 +252,13 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
         kept.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
         rows += batch.num_rows
         if rows >= AT_ONCE // 16:
-            mask, pattern, fps = joined()
+            every = joined()
+            mask, pattern = every[:2]
             change = np.flatnonzero((mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1]))
             cut = change[-1] + 1 if len(change) else 0
             if cut:
-                yield mask[:cut], pattern[:cut], fps[:cut]
-            kept = [(mask[cut:], pattern[cut:], fps[cut:])]
+                yield tuple(x[:cut] for x in every)
+            kept = [tuple(x[cut:] for x in every)]
             rows = len(mask) - cut
     if rows:
         yield joined()
