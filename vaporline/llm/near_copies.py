@@ -8,10 +8,9 @@ are exact: in any one order of all shingles, the first n - ceil(4n/5) + 1 shingl
 set of n (its prefix) share one with the prefix of each set that is so similar. So the
 sets whose prefixes share a shingle are a group.
 
-No group gives all its pairs. First, in several orders by Gray rank, each set is held
-against its nearest neighbour in the order, and what is similar is joined; that is at
-most one comparison a set and order, and it joins nearly all of a large group of near
-copies. Then each group's Gray-order tree is searched for pairs of sets that aren't in
+No group gives all its pairs. First, each set is held against the few nearest of its
+neighbours in several orders by Gray rank, and what is similar is joined; that is a fixed
+number of comparisons a set, and it joins most of a large group of near copies. Then each group's Gray-order tree is searched for pairs of sets that aren't in
 one component yet; subtrees in the component of the searching set are left whole, like
 those that differ in more than MOST_BITS bits. Of these pairs, those whose sizes and
 shared prefixes allow the similarity are held against each other: what two sets share up
@@ -51,11 +50,16 @@ SHINGLE_WORDS = 5
 MOST_BITS, NEAR_BITS = 26, 16
 #: By how many bits fingerprints are turned before their Gray rank is taken.
 TURNS = (0, 16, 32, 48)
+#: How far apart in these orders the neighbours are, and how many a set is held against.
+STEPS = (1, 2, 4)
+NEAREST = 4
 #: Sets of a group, or of a block of a larger one.
 GROUP_LIMIT = 1 << 15
 #: Documents in the sample that common shingles are known from, and the most that are.
 SAMPLE = 10_000
 MOST_COMMON = 200_000
+#: Up to so many keys of 8 bytes are broadcast, more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def shingles(text: str, width: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
@@ -162,30 +166,38 @@ def gray_rank(bits: Column, turn: int) -> Column:
     return rank
 
 
-def labelled(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
+def neighbours(shared: DataFrame) -> DataFrame:
+    """(a, b): each set with the NEAREST nearest of its neighbours in the orders by Gray
+    rank, if sizes and bits allow the similarity. The orders are taken within the same
+    groups, so the rows are shuffled once for all; of each order and distance in it the
+    nearest is taken first, so a set has few candidates in however many groups it is."""
+    rows, found = shared, []
+    for turn in TURNS:
+        order = Window.partitionBy("shingle", "block").orderBy(gray_rank(F.col("bits"), turn), "fp")
+        for step in STEPS:
+            to = F.col(f"to_{turn}_{step}")
+            rows = rows.withColumn(f"to_{turn}_{step}", F.lag(F.struct("fp", "n", "bits"), step).over(order))
+            far = F.bit_count(F.col("bits").bitwiseXOR(to.bits))
+            may = (F.col("fp") != to.fp) & (far <= NEAR_BITS) & (9 * F.least("n", to.n) >= 4 * (F.col("n") + to.n))
+            for a, b in ((F.col("fp"), to.fp), (to.fp, F.col("fp"))):
+                found.append(F.when(may, F.struct(F.lit(turn).alias("turn"), F.lit(step).alias("step"), a.alias("a"), far.alias("far"), b.alias("b"))))
+    if not found:
+        return shared.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    pairs = rows.select(F.explode(F.array_compact(F.array(*found))).alias("x")).select("x.*")
+    best = pairs.groupBy("turn", "step", "a").agg(F.min(F.struct("far", "b")).alias("best"))
+    near = best.groupBy("a").agg(F.slice(F.array_sort(F.collect_set("best")), 1, NEAREST).alias("near")).select("a", F.explode("near.b").alias("b"))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def labelled(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows with root, the component of their set so far."""
-    if roots is None:
-        return shared.withColumn("root", F.col("fp"))
     return shared.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-def neighbours(shared: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
-    """(a, b): each set with the nearest of its neighbours by Gray rank, if it is of
-    another component and size and bits allow the similarity. At most one pair a set."""
-    order = Window.partitionBy("shingle", "block").orderBy("rank", "fp")
-    rows = labelled(shared, roots).withColumn("rank", gray_rank(F.col("bits"), turn))
-    rows = rows.select("fp", "n", "bits", "root", F.lag(F.struct("fp", "n", "bits", "root")).over(order).alias("to"))
-    both, far = F.col("n") + F.col("to.n"), F.bit_count(F.col("bits").bitwiseXOR(F.col("to.bits")))
-    may = (F.col("root") != F.col("to.root")) & (far <= NEAR_BITS) & (9 * F.least("n", "to.n") >= 4 * both)
-    pairs = rows.where(may).select(F.col("fp").alias("a"), F.col("to.fp").alias("b"), far.alias("far"))
-    pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
-    best = pairs.groupBy("a").agg(F.min(F.struct("far", "b")).alias("best"))
-    return best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
-
-
-def across(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(a, b): all pairs of sets of different components whose bits, sizes and shared
-    prefixes allow the similarity, by the tree of each group or pair of blocks."""
+def across(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b, over): all pairs of sets of different components whose bits, sizes and shared
+    prefixes allow the similarity, by the tree of each group or pair of blocks; over is by
+    how much they share more than they must."""
     rows = labelled(shared, roots).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fp", "n", "bits", "root")
     rows = rows.withColumn("pattern", F.xxhash64("low", "high"))  # of one shingle, few and unlike
@@ -205,7 +217,7 @@ def across(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*map(pa.array, (*x, *y))], ["a", "b", "least", "shared"])
 
     found = rows.mapInArrow(run, "a long, b long, least long, shared long")
-    return found.groupBy("a", "b", "least").agg(F.sum("shared").alias("shared")).where("shared >= least").select("a", "b")
+    return found.groupBy("a", "b", "least").agg(F.sum("shared").alias("shared")).where("shared >= least").select("a", "b", (F.col("shared") - F.col("least")).alias("over"))
 
 
 def counted(tree: GrayTree, fp: np.ndarray, n: np.ndarray, block: np.ndarray, two: np.ndarray) -> Iterator[tuple]:
@@ -225,23 +237,29 @@ def counted(tree: GrayTree, fp: np.ndarray, n: np.ndarray, block: np.ndarray, tw
         yield (a[starts], b[starts]), (least[starts], np.diff(np.append(starts, len(a))))
 
 
-def held_against(pairs: DataFrame, texts: DataFrame, sets: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar. Only the texts of these sets are
-    read by Python: of each set the one with the smallest hash."""
+def whole_sets(pairs: DataFrame, texts: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+    """(fp, every): the whole sets of the pairs (a, b). Only the texts of these sets are
+    read by Python: of each set the one with the smallest hash. Up to BROADCAST_KEYS such
+    hashes are broadcast, so that the texts aren't shuffled; beyond, both sides are."""
     need = settle(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(sets.select("fp", "text_hash"), "fp").select("text_hash"))
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for h, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if h not in seen:
                     seen.add(h)
                     found = shingles(t.as_py(), width)
-                    yield pa.RecordBatch.from_arrays([pa.array([key_of(found)], pa.int64()), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], ["key", "every"])
+                    yield pa.RecordBatch.from_arrays([pa.array([key_of(found)], pa.int64()), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], ["fp", "every"])
+
+    need = F.broadcast(need) if need.count() <= BROADCAST_KEYS else need
+    every = texts.select("text_hash", "text").join(need, "text_hash", "left_semi").mapInArrow(run, "fp long, every array<long>")
+    return settle(every.groupBy("fp").agg(F.first("every").alias("every")))
+
 
-    every = texts.select("text_hash", "text").join(need, "text_hash", "left_semi").mapInArrow(whole, "key long, every array<long>")
-    every = settle(every.groupBy("key").agg(F.first("every").alias("every")))
-    both = pairs.join(every.select(F.col("key").alias("a"), F.col("every").alias("of_a")), "a").join(every.select(F.col("key").alias("b"), F.col("every").alias("of_b")), "b").select("a", "b", "of_a", "of_b")
+def compared(pairs: DataFrame, every: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar."""
+    both = pairs.join(every.select(F.col("fp").alias("a"), F.col("every").alias("of_a")), "a").join(every.select(F.col("fp").alias("b"), F.col("every").alias("of_b")), "b").select("a", "b", "of_a", "of_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,6 +270,21 @@ def held_against(pairs: DataFrame, texts: DataFrame, sets: DataFrame, width: int
     return settle(both.mapInArrow(run, "a long, b long"))
 
 
+def sharing_most(pairs: DataFrame) -> DataFrame:
+    """(a, b): of each set the NEAREST pairs that share most."""
+    each = pairs.withColumn("of", F.explode(F.array("a", "b")))
+    place = F.row_number().over(Window.partitionBy("of").orderBy(F.col("over").desc(), "a", "b"))
+    return settle(each.withColumn("place", place).where(F.col("place") <= NEAREST).select("a", "b").distinct())
+
+
+def still_apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b, over): the pairs whose sets aren't in one component."""
+    rows = pairs
+    for side in ("a", "b"):
+        rows = rows.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    return settle(rows.where("root_a <> root_b").select("a", "b", "over"))
+
+
 def links(rows: DataFrame, texts: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """(a, b): pairs of similar sets that connect all similar ones; rows as of ``described``."""
     sets = settle(rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("text_hash").alias("text_hash")))
@@ -260,20 +293,15 @@ def links(rows: DataFrame, texts: DataFrame, width: int = SHINGLE_WORDS) -> Data
     large = settle(shared.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > GROUP_LIMIT).select("shingle", F.ceil(F.col("held") / GROUP_LIMIT).cast("int").alias("blocks")))
     shared = shared.withColumn("blocks", F.lit(1)) if large.isEmpty() else settle(shared.join(large, "shingle", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))))
     shared = shared.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    found = roots = None
-    for turn in TURNS:
-        pairs = settle(neighbours(shared, roots, turn))
-        if pairs.isEmpty():
-            continue
-        near = held_against(pairs, texts, sets, width)
-        if not near.isEmpty():
-            found = near if found is None else found.unionByName(near)
-            roots = settle(components(found))
-    pairs = settle(across(shared, roots))
-    if not pairs.isEmpty() or found is None:
-        last = held_against(pairs, texts, sets, width)
-        found = last if found is None else found.unionByName(last)
-    return found
+    pairs = settle(neighbours(shared))
+    found = compared(pairs, whole_sets(pairs, texts, sets, width))
+    roots = settle(components(found))
+    pairs = still_apart(across(shared, roots), roots)
+    every = whole_sets(pairs, texts, sets, width)
+    first = sharing_most(pairs)
+    found = found.unionByName(compared(first, every))
+    pairs = still_apart(pairs.join(first, ["a", "b"], "left_anti"), settle(components(found)))
+    return found.unionByName(compared(pairs.select("a", "b"), every))
 
 
 def kept_rows(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
