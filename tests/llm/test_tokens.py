@@ -41,10 +41,10 @@ def test_every_prefix_is_exact(library):
         assert count.count(text, budget) == (at[-1], max(i for i, n in enumerate(at) if n <= budget))
 
 
-@pytest.mark.parametrize("leaf", [2, 5, 32])
-def test_trees_of_small_leaves_are_exact(library, leaf):
-    codec = bpe_codec.Codec(default_vocabulary(), leaf, 2)
-    sets = [PIECES, ["a", "b", "the", "ing", "er", "l", "x"], ["!", "'", "-", "s", "=="], ["1", "22", "345"], [" ", "  ", "a"], ["日", "本", "é"], ["a"]]
+@pytest.mark.parametrize(("leaf", "window"), [(2, 2), (5, 2), (32, 2), (4, 1), (24, 1), (32, 8)])
+def test_trees_of_small_leaves_are_exact(library, leaf, window):
+    codec = bpe_codec.Codec(default_vocabulary(), leaf, window)
+    sets = [PIECES, ["a", "b", "the", "ing", "er", "l", "x"], ["!", "'", "-", "s", "=="], ["1", "22", "345"], [" ", "  ", "a"], ["日", "本", "é"], ["a"], ["!", "😀", "<|endoftext|>", "x", "'ll", "'re", "<|endof"]]
     for n, pieces in enumerate(sets):
         for text in texts(n, 60, pieces, 90):
             ids = encoded(library, text)

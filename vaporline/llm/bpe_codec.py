@@ -14,7 +14,8 @@ that end is one of these:
 * within one run of letters, digits or marks that the window doesn't leave: there
   the whole run is one pre-token, and a token sequence is its encoding if any two
   neighbours are. Neighbours outside the window are so from the halves, those in
-  the window from the window, and at its ends because the tokens are the same.
+  the window from the window, and at its ends because the tokens are the same. No
+  such end may lie within a special token's string, which isn't cut like other text.
 
 Defined results: a null text counts as empty (no ids); special tokens' strings in
 a text become those tokens (the library's default); repeated rows give repeated
@@ -51,6 +52,7 @@ class Codec:
     def __init__(self, path: str, leaf_bytes: int = LEAF_BYTES, first_window: int = FIRST_WINDOW):
         self.vocab = vocabulary(path)
         self.leaf_bytes, self.first_window = leaf_bytes, first_window
+        self.special_bytes = [s.encode() for s in self.vocab.specials]
         self.joinable = not any(c.isspace() for s in self.vocab.specials for c in s)
         self.windows = 0
         # Of a word at a line's start and of a word behind a space: its ids.
@@ -109,6 +111,10 @@ class Codec:
         """Whether a space and then another kind of character stand here."""
         return raw[at] == 32 and at + 1 < len(raw) and not raw[at + 1 : at + 5].decode(errors="ignore")[:1].isspace()
 
+    def in_special(self, raw: bytes, at: int) -> bool:
+        """Whether a place lies within a special token's string."""
+        return any(raw.find(s, max(0, at - len(s) + 1), at + len(s) - 1) >= 0 for s in self.special_bytes)
+
     def join(self, raw: bytes, left: tuple, right: tuple) -> tuple:
         """Two neighbouring parts (ids, start, end) as one."""
         (a_ids, start, middle), (b_ids, _, end) = left, right
@@ -126,7 +132,7 @@ class Codec:
             if lo is not None and hi is not None:
                 text = raw[lo:hi].decode()
                 sure = lo_sure and hi_sure or one_class(text) and b"'" not in raw[max(start, lo - 3) : lo] and (lo_sure or not text[0].isspace())
-                if sure:
+                if sure and (lo_sure or not self.in_special(raw, lo)) and (hi_sure or not self.in_special(raw, hi)):
                     ids = np.frombuffer(self.leaf(text), np.int32)
                     first = lo == start or ids[0] == a[len(a) - k + i]
                     last = hi == end or ids[-1] == b[j]

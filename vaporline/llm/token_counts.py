@@ -18,8 +18,10 @@ repeated results; an empty table gives an empty result; extra columns aren't rea
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +41,10 @@ class PrefixCounter:
 
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
-        # Of a word at a line's start and of a word behind a space: its last count.
-        self.bare_total = Bounded(lambda word: self.cut(word)[-1])
-        self.spaced_total = Bounded(lambda word: self.cut(" " + word)[-1], most=500_000)
+        # Of a word at a line's start and of a word behind a space: the counts at all its
+        # prefixes, in as few bytes as they need, the last one being its total.
+        self.bare = Bounded(lambda word: stored(self.cut(word)))
+        self.spaced = Bounded(lambda word: stored(self.cut(" " + word)), most=500_000)
 
     def token_ends(self, piece: bytes) -> list[int]:
         """The count at every byte prefix of one pre-token, from 0 on."""
@@ -105,28 +108,41 @@ class PrefixCounter:
 
     def count(self, text: str, budget: int | None = None) -> tuple[int, int]:
         """The tokens of a text, and how many characters its longest prefix has
-        whose tokens don't exceed the budget (no budget: the whole text)."""
+        whose tokens don't exceed the budget (no budget: the whole text).
+
+        Both are read from the counts stored at each word's prefixes: their last ones
+        add up to the count before each word, and within the word on the border the
+        stored ones say how much of it still fits. Nothing is encoded again."""
         lines = words_of(text, self.vocab.specials)
         if lines is None:
             at = self.prefixes(text)
             return int(at[-1]), len(text) if budget is None else int(np.flatnonzero(at <= budget)[-1])
-        bare, spaced = self.bare_total, self.spaced_total.__getitem__
-        total = len(lines) - 1 + sum(bare[line[0]] + sum(map(spaced, line[1:])) for line in lines)
+        bare, spaced = self.bare, self.spaced.__getitem__
+        each = [counts for line in lines for counts in (bare[line[0]], *map(spaced, line[1:]))]
+        total = len(lines) - 1 + sum(map(LAST, each))
         if budget is None or total <= budget:
             return total, len(text)
         # No prefix within a word fits if what stands before the word fills the budget.
         base = start = 0
+        each = iter(each)
         for n, line in enumerate(lines):
-            for i, word in enumerate(line):
-                own = spaced(word) if i else bare[word] + (n > 0)
-                size = len(word) + (i > 0 or n > 0)
-                if base + own >= budget:
-                    at = self.cut(" " + word) if i else ([0, *(c + 1 for c in self.cut(word))] if n else self.cut(word))
-                    return total, start + max(k for k, c in enumerate(at) if base + c <= budget)
-                base, start = base + own, start + size
+            for i in range(len(line)):
+                counts, feed = next(each), int(not i and n > 0)  # a line feed is a token of its own
+                if base + feed + counts[-1] >= budget:
+                    fit = [k for k, c in enumerate(counts) if base + feed + c <= budget]
+                    return total, start + feed + fit[-1] if fit else start
+                base, start = base + feed + counts[-1], start + feed + len(counts) - 1
         raise AssertionError("the words' tokens don't sum to the text's")
 
 
+def stored(counts: list[int]) -> bytes | array:
+    """Prefix counts, a byte each if they fit."""
+    return bytes(counts) if max(counts) < 256 else array("I", counts)
+
+
+LAST = itemgetter(-1)
+
+
 @lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
