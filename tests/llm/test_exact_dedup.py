@@ -2,6 +2,7 @@ import hashlib
 import re
 
 from vaporline.llm import exact_dedup as E
+from vaporline.llm.common import text_of
 
 from .helpers import AWKWARD, awkward, empty
 
@@ -52,3 +53,12 @@ def test_kept_rows(spark):
 def test_only_native_plans(spark):
     plan = E.classes(awkward(spark), E.scratch_index(spark))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_clashing_columns_and_dropped_index(spark):
+    docs = awkward(spark).selectExpr("*", "'x' AS text_sha256", "1 AS keep_id", "2 AS sha_of_text")
+    index = E.scratch_index(spark)
+    kept = E.kept_rows(docs, index)
+    index.drop()
+    assert kept.columns == docs.columns and kept.count() == docs.select(E.digest(text_of("text"))).distinct().count()
+    assert not spark.catalog.tableExists(index.name)

@@ -51,3 +51,9 @@ def test_near_targets_and_empty(spark):
     by = mixing.mix(docs).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
     assert all(abs(r["sum(taken)"] - r["max(target)"]) < 0.1 * r["max(target)"] for r in by)
     assert mixing.mix(empty(spark)).count() == 0
+
+
+def test_rows_without_ids_draw_on_their_own(spark):
+    rows = [(None, f"w{i} " * 10, "abc"[i % 3]) for i in range(600)]
+    by = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert all(abs(r["sum(taken)"] - r["max(target)"]) < 0.3 * r["max(target)"] for r in by)

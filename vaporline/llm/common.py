@@ -35,11 +35,14 @@ def ready(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session without that setting and without a checkpoint folder of its
-    own (a local test) gets a temporary one.
+    Only a local session without that setting and without a checkpoint folder of its
+    own (a test) gets a temporary one; on a cluster that is an error, as executors
+    don't share such a folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vaporline-checkpoints-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaporline.llm.common import SPACE, join_counted, settle, text_of
+from vaporline.llm.common import SPACE, fresh, join_counted, settle, text_of
 
 #: Buckets of the index; fixed when it is made. 100 TB of web text is some 3e10
 #: documents and 2.5 TB of index; the default suits some 1e9, pass more for more.
@@ -53,6 +53,10 @@ class DigestIndex:
         """The rows of ``digests`` whose text_sha256 the index doesn't have."""
         return digests.join(self.table().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
 
+    def drop(self) -> None:
+        """Remove the table. What ``classes`` and ``kept_rows`` returned doesn't read it."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def add(self, digests: DataFrame) -> None:
         """Append rows (text_sha256, keep_id) that the index lacks.
 
@@ -87,7 +91,7 @@ def classes(docs: DataFrame, index: DigestIndex, *, id_col: str = "doc_id", text
     groups = by_id.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("__n").alias("group_size"))
     index.add(groups)
     known = index.table().hint("merge")
-    sizes = groups.select("text_sha256", "group_size").join(known, "text_sha256")
+    sizes = settle(groups.select("text_sha256", "group_size").join(known, "text_sha256"))
     rows = join_counted(by_id, sizes, "text_sha256", "group_size", by_id.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0])
     # Spread out in two steps, so that no array has more than REPEATS_AT_ONCE elements
     # for each REPEATS_AT_ONCE squared repeats.
@@ -102,13 +106,14 @@ def kept_rows(docs: DataFrame, index: DigestIndex, *, id_col: str = "doc_id", te
     every column; their digests are appended.
 
     Of rows with the same id and text an arbitrary one stays if their other
-    columns differ.
+    columns differ. The rows are settled before their digests are appended: after a
+    crash in between, the batch given again returns the same rows again.
     """
-    known = index.table().select("text_sha256", F.col("keep_id").alias("__before")).hint("merge")
     digests = batch_digests(docs, id_col, text_col).groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"))
-    new = digests.join(known, "text_sha256", "left_anti")
-    held = docs.withColumn("__sha", digest(text_of(text_col)))
-    won = held.join(new, (F.col("__sha") == F.col("text_sha256")) & F.col(id_col).eqNullSafe(F.col("keep_id"))).dropDuplicates(["__sha"]).select(*docs.columns)
+    sha, found, least = fresh(docs, "sha_of_text", "sha_of_new", "least_id")
+    new = index.lacking(digests).select(F.col("text_sha256").alias(found), F.col("keep_id").alias(least))
+    held = docs.withColumn(sha, digest(text_of(text_col)))
+    won = held.join(new, (F.col(sha) == F.col(found)) & F.col(id_col).cast("long").eqNullSafe(F.col(least))).dropDuplicates([sha]).select(*docs.columns)
     won = settle(won)
     index.add(digests)
     return won

@@ -5,8 +5,8 @@ every document is taken floor(rate) times plus one hash-seeded Bernoulli copy
 whose probability is the fraction of the rate.
 
 Defined results: a null text has size 0; a null source is a source of its own;
-a null id draws as the empty id would; repeated rows are documents of their own
-that draw alike (their ids are equal); an empty table gives an empty result; a
+a draw is seeded by id and text, so rows that share an id or have none draw on their
+own; repeated rows (same id and text) are documents of their own that draw alike; an empty table gives an empty result; a
 source whose words all are zero has target 0 and rate 0. Input columns that have
 the name of an output column are replaced by it.
 """
@@ -18,7 +18,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vaporline.llm.common import WORD, text_of
+from vaporline.llm.common import WORD, fresh, text_of
 
 #: A source's words are taken at most so many times.
 MOST_REPEATS = 3
@@ -31,9 +31,9 @@ def words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def draw(key: Column, seed: int = 7) -> Column:
-    """A number in [0, 1) from 48 bits of the MD5 of a key: the same on every run."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+def draw(key: Column, text: Column, seed: int = 7) -> Column:
+    """A number in [0, 1) from 48 bits of the MD5 of key and text: the same on every run."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.md5(text.cast("binary"))).cast("binary"))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
@@ -86,12 +86,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     targets = source_targets(sized.select(F.col(source_col).alias("source"), "size"), weights, share, most)
     targets = targets.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
     few = docs.select(source_col).distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    mixed = docs.select(*kept, words(text_of(text_col)).alias("size")).join(F.broadcast(targets) if few else targets, F.col(source_col).eqNullSafe(F.col("__source")), "left")
+    (drawn,) = fresh(docs, "drawn")
+    mixed = docs.select(*kept, words(text_of(text_col)).alias("size"), draw(F.col(id_col), text_of(text_col), seed).alias(drawn)).join(F.broadcast(targets) if few else targets, F.col(source_col).eqNullSafe(F.col("__source")), "left")
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
-    mixed = mixed.select(*kept, "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), rate.alias("rate"))
+    mixed = mixed.select(*kept, drawn, "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), rate.alias("rate"))
     whole = F.floor("rate")
-    mixed = mixed.withColumn("copies", (whole + (draw(F.col(id_col), seed) < F.col("rate") - whole).cast("long")).cast("long"))
-    return mixed.withColumn("taken", F.col("size") * F.col("copies"))
+    mixed = mixed.withColumn("copies", (whole + (F.col(drawn) < F.col("rate") - whole).cast("long")).cast("long"))
+    return mixed.withColumn("taken", F.col("size") * F.col("copies")).drop(drawn)
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:

@@ -35,7 +35,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_dedup.classes(docs, exact_dedup.scratch_index(spark))
+    index = exact_dedup.scratch_index(spark)
+    found = exact_dedup.classes(docs, index)
+    index.drop()
+    return found
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +90,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest FROM documents
 ), named AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -108,7 +111,7 @@ WITH sized AS (
 ), rated AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-    CAST(('0x' || left(md5('7:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 12)) AS BIGINT) / 281474976710656.0::DOUBLE AS draw
+    CAST(('0x' || left(md5('7:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || d.digest), 12)) AS BIGINT) / 281474976710656.0::DOUBLE AS draw
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
