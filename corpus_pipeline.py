@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; ``run`` writes each
 stage's rows as Parquet in the shared folder and reads them again for the next.
+
+Defined results, of each stage and so of all: nulls in any column, rows without an id,
+repeated rows and extra columns pass as the stage's operator says; a null or empty text
+is scored, linked and counted as an empty one; documents that line dedup empties go;
+of the near copies the one with the smallest id stays, and of ties any one; an empty
+table gives an empty result with the same columns.
 """
 
 from __future__ import annotations
