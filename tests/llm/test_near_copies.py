@@ -62,11 +62,11 @@ def test_any_order_of_shingles_finds_all(spark, monkeypatch):
     assert {x.doc_id for x in N.kept_rows(frame).collect()} == brute(docs)
 
 
-def test_without_neighbours_and_in_blocks(spark, monkeypatch):
+def test_without_centres_and_in_blocks(spark, monkeypatch):
     """The search of the trees alone finds all, in groups dealt into blocks, too."""
     docs = made(random.Random(5))
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    monkeypatch.setattr(N, "TURNS", ())
+    monkeypatch.setattr(N, "NEAREST", 0)
     assert {x.doc_id for x in N.kept_rows(frame).collect()} == brute(docs)
     monkeypatch.setattr(N, "GROUP_LIMIT", 2)
     assert {x.doc_id for x in N.kept_rows(frame).collect()} == brute(docs)

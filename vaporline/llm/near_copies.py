@@ -8,9 +8,9 @@ are exact: in any one order of all shingles, the first n - ceil(4n/5) + 1 shingl
 set of n (its prefix) share one with the prefix of each set that is so similar. So the
 sets whose prefixes share a shingle are a group.
 
-No group gives all its pairs. First, each set is held against the few nearest of its
-neighbours in several orders by Gray rank, and what is similar is joined; that is a fixed
-number of comparisons a set, and it joins most of a large group of near copies. Then each group's Gray-order tree is searched for pairs of sets that aren't in
+No group gives all its pairs. First, each set is held against the few nearest of the
+centres of its groups, and what is similar is joined; that is a fixed number of
+comparisons a set, and it joins most of a large group of near copies. Then each group's Gray-order tree is searched for pairs of sets that aren't in
 one component yet; subtrees in the component of the searching set are left whole, like
 those that differ in more than MOST_BITS bits. Of these pairs, those whose sizes and
 shared prefixes allow the similarity are held against each other: what two sets share up
@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaporline.llm.common import ready, settle, text_of
@@ -45,13 +45,10 @@ from vaporline.llm.components import components
 from vaporline.llm.simhash import AT_ONCE, SEED, GrayTree, bit_counts, joined_classes, kept_of, majority, signed, whole_groups
 
 SHINGLE_WORDS = 5
-#: Fingerprints of similar sets differ in no more bits than this, neighbours that are
-#: tried first in no more than the second.
+#: Fingerprints of similar sets differ in no more bits than this, those of sets and
+#: centres that are tried first in no more than the second.
 MOST_BITS, NEAR_BITS = 26, 16
-#: By how many bits fingerprints are turned before their Gray rank is taken.
-TURNS = (0, 16, 32, 48)
-#: How far apart in these orders the neighbours are, and how many a set is held against.
-STEPS = (1, 2, 4)
+#: How many others a set is held against first.
 NEAREST = 4
 #: Sets of a group, or of a block of a larger one.
 GROUP_LIMIT = 1 << 15
@@ -158,34 +155,29 @@ def held_by_several(rows: DataFrame) -> DataFrame:
     return every.repartition("shingle").sortWithinPartitions("shingle", "fp").mapInArrow(run, "shingle long, fp long")
 
 
-def gray_rank(bits: Column, turn: int) -> Column:
-    """The place of a fingerprint, turned by some bits, in the order of the Gray code."""
-    rank = bits if not turn else F.shiftleft(bits, turn).bitwiseOR(F.shiftrightunsigned(bits, 64 - turn))
-    for shift in (1, 2, 4, 8, 16, 32):
-        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
-    return rank
-
-
-def neighbours(shared: DataFrame) -> DataFrame:
-    """(a, b): each set with the NEAREST nearest of its neighbours in the orders by Gray
-    rank, if sizes and bits allow the similarity. The orders are taken within the same
-    groups, so the rows are shuffled once for all; of each order and distance in it the
-    nearest is taken first, so a set has few candidates in however many groups it is."""
-    rows, found = shared, []
-    for turn in TURNS:
-        order = Window.partitionBy("shingle", "block").orderBy(gray_rank(F.col("bits"), turn), "fp")
-        for step in STEPS:
-            to = F.col(f"to_{turn}_{step}")
-            rows = rows.withColumn(f"to_{turn}_{step}", F.lag(F.struct("fp", "n", "bits"), step).over(order))
-            far = F.bit_count(F.col("bits").bitwiseXOR(to.bits))
-            may = (F.col("fp") != to.fp) & (far <= NEAR_BITS) & (9 * F.least("n", to.n) >= 4 * (F.col("n") + to.n))
-            for a, b in ((F.col("fp"), to.fp), (to.fp, F.col("fp"))):
-                found.append(F.when(may, F.struct(F.lit(turn).alias("turn"), F.lit(step).alias("step"), a.alias("a"), far.alias("far"), b.alias("b"))))
-    if not found:
-        return shared.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    pairs = rows.select(F.explode(F.array_compact(F.array(*found))).alias("x")).select("x.*")
-    best = pairs.groupBy("turn", "step", "a").agg(F.min(F.struct("far", "b")).alias("best"))
-    near = best.groupBy("a").agg(F.slice(F.array_sort(F.collect_set("best")), 1, NEAREST).alias("near")).select("a", F.explode("near.b").alias("b"))
+def centres(shared: DataFrame) -> DataFrame:
+    """(a, b): each set with the NEAREST centres that are nearest to it, of those of its
+    groups, if sizes and bits allow the similarity. A group's centre is the set whose
+    fingerprint is nearest to the majority of all fingerprints of the group (or block):
+    variants of one text are more similar to it than to each other."""
+    rows = shared.select("shingle", F.col("block").cast("long").alias("block"), "fp", "n", "bits").repartition("shingle", "block").sortWithinPartitions("shingle", "block", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shingle, block, fp, n, bits in whole_groups(batches):
+            starts = np.flatnonzero(np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (block[1:] != block[:-1])]))
+            sizes = np.diff(np.append(starts, len(fp)))
+            ones = np.add.reduceat(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32), starts)
+            middle = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+            off = np.bitwise_count(bits.view(np.uint64) ^ np.repeat(middle, sizes)).astype(np.int64)
+            order = np.lexsort((off, np.repeat(np.arange(len(starts)), sizes)))
+            at = np.repeat(order[starts], sizes)
+            far = np.bitwise_count((bits ^ bits[at]).view(np.uint64)).astype(np.int64)
+            may = (fp != fp[at]) & (far <= NEAR_BITS) & (9 * np.minimum(n, n[at]) >= 4 * (n + n[at]))
+            yield pa.RecordBatch.from_arrays([pa.array(fp[may]), pa.array(far[may]), pa.array(fp[at][may])], ["a", "far", "b"])
+
+    pairs = rows.mapInArrow(run, "a long, far long, b long").distinct()
+    place = F.row_number().over(Window.partitionBy("a").orderBy("far", "b"))
+    near = pairs.withColumn("place", place).where(F.col("place") <= NEAREST)
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -293,7 +285,7 @@ def links(rows: DataFrame, texts: DataFrame, width: int = SHINGLE_WORDS) -> Data
     large = settle(shared.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > GROUP_LIMIT).select("shingle", F.ceil(F.col("held") / GROUP_LIMIT).cast("int").alias("blocks")))
     shared = shared.withColumn("blocks", F.lit(1)) if large.isEmpty() else settle(shared.join(large, "shingle", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))))
     shared = shared.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    pairs = settle(neighbours(shared))
+    pairs = settle(centres(shared))
     found = compared(pairs, whole_sets(pairs, texts, sets, width))
     roots = settle(components(found))
     pairs = still_apart(across(shared, roots), roots)
