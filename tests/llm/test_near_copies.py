@@ -4,6 +4,8 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline
 from vaporline.llm import near_copies as N
 
@@ -107,3 +109,16 @@ def test_awkward_documents(spark):
     assert out.columns == docs.columns
     assert {x.doc_id for x in out.collect()} >= {1, 3, 6, 7, 8, 9} and out.where("doc_id IN (2, 4, 5)").count() == 0
     assert N.kept_rows(empty(spark)).count() == 0
+
+
+def test_parities_are_a_lower_bound():
+    """Sets differ in at least as many shingles as parities; in as many if they are few."""
+    r = np.random.default_rng(8)
+    for size, changed in ((1, 1), (30, 3), (150, 20), (3000, 700)):
+        a = np.unique(r.integers(0, 1 << 64, size, np.uint64))
+        b = np.unique(np.concatenate([a[changed:], r.integers(0, 1 << 64, changed, np.uint64)]))
+        unlike = int(np.bitwise_count((N.parities(a) ^ N.parities(b)).view(np.uint64)).sum())
+        differ = len(np.setxor1d(a, b))
+        assert unlike <= differ and (differ - unlike) % 2 == 0 and (differ > 3 or unlike == differ)
+        assert not (N.parities(a) ^ N.parities(a)).any()
+    assert not N.parities(np.empty(0, np.uint64)).any()

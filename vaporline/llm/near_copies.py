@@ -12,11 +12,14 @@ No group gives all its pairs. First, each set is held against the few nearest of
 centres of its groups, and what is similar is joined; that is a fixed number of
 comparisons a set, and it joins most of a large group of near copies. Then each group's Gray-order tree is searched for pairs of sets that aren't in
 one component yet; subtrees in the component of the searching set are left whole, like
-those that differ in more than MOST_BITS bits. Of these pairs, those whose sizes and
-shared prefixes allow the similarity are held against each other: what two sets share up
-to the end of the prefix that ends first is shared by the prefixes, so the overlap is at
-most what the prefixes share and what that set has behind its prefix. Every comparison
-is of the whole sets. So no link between components is lost but those of more than
+those that differ in more than MOST_BITS bits. A tree gives the pairs whose sizes and
+parities allow the similarity: a set's parities tell of each of 512 classes of shingles
+whether it has an odd number of them, and two sets differ in at least as many shingles as
+parities, at a similarity of 4/5 in no more than a ninth of both sizes. Of these pairs,
+those whose shared prefixes allow the similarity too are held against each other: what two
+sets share up to the end of the prefix that ends first is shared by the prefixes, so the
+overlap is at most what the prefixes share and what that set has behind its prefix. Every
+comparison is of the whole sets. So no link between components is lost but those of more than
 MOST_BITS bits: at a similarity of 4/5, 9.5 bits are expected, with a deviation of 2.8,
 so that fewer than one pair in 10**7 has more than 26.
 
@@ -48,6 +51,8 @@ SHINGLE_WORDS = 5
 #: Fingerprints of similar sets differ in no more bits than this, those of sets and
 #: centres that are tried first in no more than the second.
 MOST_BITS, NEAR_BITS = 26, 16
+#: Columns of the parities, 64 in each.
+PARITIES = tuple(f"odd_{i}" for i in range(8))
 #: How many others a set is held against first.
 NEAREST = 4
 #: Sets of a group, or of a block of a larger one.
@@ -88,6 +93,13 @@ def prefix(found: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarr
     return found[: len(found) - (4 * len(found) + 4) // 5 + 1] if len(found) else found
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Of each class of shingles, by their hash, whether a set has an odd number: as longs."""
+    classes = 64 * len(PARITIES)
+    odd = np.bincount((found % np.uint64(classes)).astype(np.int64), minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets have a Jaccard similarity of at least 4/5, in whole numbers."""
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
@@ -110,25 +122,29 @@ def common_shingles(texts: DataFrame, total: int, width: int) -> tuple[np.ndarra
 
 
 def described(texts: DataFrame, common: np.ndarray, often: np.ndarray, width: int) -> DataFrame:
-    """(doc_id, text_hash, fp, n, bits, prefix) of rows (doc_id, text_hash, text): fp names
-    the text's set, n is its size, bits its fingerprint. A task gives a set's prefix once."""
+    """(doc_id, text_hash, fp, n, bits, prefix, parities) of rows (doc_id, text_hash, text): fp
+    names the text's set, n is its size, bits its fingerprint. A task gives a set's prefix and
+    parities once, else no prefix and null."""
+    schema = "doc_id long, text_hash long, fp long, n long, bits long, prefix array<long>, " + ", ".join(f"{p} long" for p in PARITIES)
+    names = ["doc_id", "text_hash", "fp", "n", "bits", "prefix", *PARITIES]
     held = texts.sparkSession.sparkContext.broadcast((common, often))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = held.value
         seen: set[int] = set()
         for batch in batches:
-            keys, sizes, bits, first = [], [], [], []
+            keys, sizes, bits, first, odd = [], [], [], [], []
             for t in batch.column(2):
                 found = shingles(t.as_py(), width)
                 keys.append(key_of(found))
                 sizes.append(len(found))
                 bits.append(signed(majority(bit_counts(found), len(found))))
                 first.append([] if keys[-1] in seen else prefix(found, common, often).view(np.int64))
+                odd.append([None] * len(PARITIES) if keys[-1] in seen else parities(found).tolist())
                 seen.add(keys[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "text_hash", "fp", "n", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.int64()), pa.array(first, pa.list_(pa.int64())), *(pa.array([o[k] for o in odd], pa.int64()) for k in range(len(PARITIES)))], names)
 
-    return texts.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, fp long, n long, bits long, prefix array<long>")
+    return texts.select("doc_id", "text_hash", "text").mapInArrow(run, schema)
 
 
 def held_by_several(rows: DataFrame) -> DataFrame:
@@ -186,18 +202,18 @@ def labelled(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return shared.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-def across(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b, over): all pairs of sets of different components whose bits, sizes and shared
-    prefixes allow the similarity, by the tree of each group or pair of blocks; over is by
-    how much they share more than they must."""
-    rows = labelled(shared, roots).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fp", "n", "bits", "root")
+def across(shared: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, over): all pairs of sets of different components whose bits, sizes, parities
+    and shared prefixes allow the similarity, by the tree of each group or pair of blocks;
+    over is by how much they share more than they must."""
+    rows = labelled(shared, roots).join(sets.select("fp", *PARITIES), "fp").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fp", "n", "bits", "root", *PARITIES)
     rows = rows.withColumn("pattern", F.xxhash64("low", "high"))  # of one shingle, few and unlike
-    rows = rows.select("shingle", "pattern", "bits", "fp", "n", "root", "block", (F.col("low") < F.col("high")).alias("two"))
+    rows = rows.select("shingle", "pattern", "bits", "fp", "n", "root", "block", (F.col("low") < F.col("high")).alias("two"), *PARITIES)
     rows = rows.repartition("shingle", "pattern").sortWithinPartitions("shingle", "pattern", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, pattern, bits, fp, n, root, block, two in whole_groups(batches):
+        for shingle, pattern, bits, fp, n, root, block, two, *odd in whole_groups(batches):
             group = np.cumsum(np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (pattern[1:] != pattern[:-1])])) - 1
             starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             open_ = (np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts))[group]  # of several components
@@ -205,22 +221,30 @@ def across(shared: DataFrame, roots: DataFrame) -> DataFrame:
                 continue
             bits, fp, n, root, block, two, group = (x[open_] for x in (bits, fp, n, root, block, two, group))
             tree = GrayTree(group, bits.view(np.uint64), labels=root)
-            for x, y in counted(tree, fp[tree.order], n[tree.order], block[tree.order], two[tree.order]):
+            odd = [x[open_][tree.order] for x in odd]
+            for x, y in counted(tree, fp[tree.order], n[tree.order], block[tree.order], two[tree.order], odd):
                 yield pa.RecordBatch.from_arrays([*map(pa.array, (*x, *y))], ["a", "b", "least", "shared"])
 
     found = rows.mapInArrow(run, "a long, b long, least long, shared long")
     return found.groupBy("a", "b", "least").agg(F.sum("shared").alias("shared")).where("shared >= least").select("a", "b", (F.col("shared") - F.col("least")).alias("over"))
 
 
-def counted(tree: GrayTree, fp: np.ndarray, n: np.ndarray, block: np.ndarray, two: np.ndarray) -> Iterator[tuple]:
-    """Of a tree's pairs whose sizes allow the similarity: (a, b), the least number of
-    shingles that their prefixes then share, and in how many of its groups they are."""
+def counted(tree: GrayTree, fp: np.ndarray, n: np.ndarray, block: np.ndarray, two: np.ndarray, odd: list[np.ndarray]) -> Iterator[tuple]:
+    """Of a tree's pairs whose sizes and parities allow the similarity: (a, b), the least
+    number of shingles that their prefixes then share, and in how many of its groups they are."""
     for i, j in tree.pairs(MOST_BITS):
         both, large = n[i] + n[j], np.maximum(n[i], n[j])
         may = (9 * (both - large) >= 4 * both) & (~two[i] | (block[i] != block[j]))
         if not may.any():
             continue
         i, j, both, large = i[may], j[may], both[may], large[may]
+        unlike = np.zeros(len(i), np.int64)
+        for x in odd:
+            unlike += np.bitwise_count((x[i] ^ x[j]).view(np.uint64))
+        may = 9 * unlike <= both
+        if not may.any():
+            continue
+        i, j, both, large = i[may], j[may], both[may], large[may]
         least = (4 * both + 8) // 9 - (4 * large + 4) // 5 + 1
         a, b = np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])
         order = np.lexsort((b, a))
@@ -279,7 +303,7 @@ def still_apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def links(rows: DataFrame, texts: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """(a, b): pairs of similar sets that connect all similar ones; rows as of ``described``."""
-    sets = settle(rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("text_hash").alias("text_hash")))
+    sets = settle(rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("text_hash").alias("text_hash"), *(F.max(p).alias(p) for p in PARITIES)))
     shared = held_by_several(rows).join(sets.select("fp", "n", "bits"), "fp").select("shingle", "fp", "n", "bits")
     shared = settle(shared)
     large = settle(shared.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > GROUP_LIMIT).select("shingle", F.ceil(F.col("held") / GROUP_LIMIT).cast("int").alias("blocks")))
@@ -288,7 +312,7 @@ def links(rows: DataFrame, texts: DataFrame, width: int = SHINGLE_WORDS) -> Data
     pairs = settle(centres(shared))
     found = compared(pairs, whole_sets(pairs, texts, sets, width))
     roots = settle(components(found))
-    pairs = still_apart(across(shared, roots), roots)
+    pairs = still_apart(across(shared, roots, sets), roots)
     every = whole_sets(pairs, texts, sets, width)
     first = sharing_most(pairs)
     found = found.unionByName(compared(first, every))
