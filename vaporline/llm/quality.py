@@ -7,8 +7,11 @@ negative risk R-, a linear model is fitted to the non-negative unbiased risk
     p R+(positives) + max(0, R-(unlabelled) - p R-(positives))
 
 under logistic loss, so that its score estimates the chance that a document is good.
-Labels of bad documents are used for the prior only, which is the share of good ones
-among the labels that may be learned from.
+The prior is estimated from positives and unlabelled documents alone
+(``estimated_prior``); labels of bad documents aren't used at all.
+
+The model's inputs are rates of marks, digits, capitals, repeats and word shapes, and
+of lower-cased words hashed to WORD_BUCKETS buckets.
 
 The model is fitted on bounded samples (MOST_POSITIVES and MOST_UNLABELLED rows, the
 smallest hashes of the id), of which only the features reach the driver; every
@@ -24,6 +27,7 @@ score is 0.5; columns other than id and text aren't read by ``score``.
 from __future__ import annotations
 
 import operator
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vaporline.llm.bpe_vocab import Bounded
 from vaporline.llm.common import fresh, ready, text_of
 
 MOST_POSITIVES = 12_000
@@ -44,10 +49,16 @@ FOLDS, HELD_OUT = 4, 2
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words added to a text's length in its rates, which keeps short texts near 0.
 SMOOTHING = 12
+#: Words are hashed to so many buckets.
+WORD_BUCKETS = 128
+
+#: Of a word: its bucket.
+BUCKETS = Bounded(lambda word: zlib.crc32(word.lower().encode()) % WORD_BUCKETS)
 
 
 def features(text: str) -> list[float]:
-    """Rates per word of each mark, digits, capitals, repeats and word shapes."""
+    """Rates per word of each mark, digits, capitals, repeats, word shapes and hashed
+    words; the text's length and its words' mean length."""
     words = text.split()
     n = len(words)
     over = n + SMOOTHING
@@ -62,10 +73,11 @@ def features(text: str) -> list[float]:
         n - len(set(words)),
     ]
     long = sum(map(len, words)) / n if n else 5.0
-    return [np.log1p(8.0 * c / over) for c in counts] + [np.log1p(n), min(long, 40.0)]
+    hashed = np.bincount(list(map(BUCKETS.__getitem__, words)), minlength=WORD_BUCKETS) if n else np.zeros(WORD_BUCKETS)
+    return [*np.log1p(8.0 / over * np.concatenate([counts, hashed])).tolist(), np.log1p(n), min(long, 40.0)]
 
 
-N_FEATURES = len(MARKS) + 9
+N_FEATURES = len(MARKS) + 9 + WORD_BUCKETS
 
 
 @dataclass
@@ -107,6 +119,27 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: in
     return Model(mean, scale, w[:-1], float(w[-1]), prior)
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of good documents among the unlabelled, by best-bin estimation.
+
+    A model fitted to every other row of both samples scores the rest. If above some
+    score there are good documents only, the share of the unlabelled that score so,
+    divided by that of the positives, is the prior; bad ones among them make the
+    quotient larger. It is taken at the score where its upper confidence bound
+    (Dvoretzky-Kiefer-Wolfowitz, 90 %) is least. Samples of fewer than 2 rows: 0.5.
+    """
+    if min(len(positive), len(unlabelled)) < 2:
+        return 0.5
+    model = fit(positive[::2], unlabelled[::2], 0.5)
+    p, u = np.sort(model.score(positive[1::2])), np.sort(model.score(unlabelled[1::2]))
+    at = np.unique(p)
+    of_p, of_u = (1 - np.searchsorted(x, at) / len(x) for x in (p, u))
+    slack = sum(np.sqrt(np.log(4 / 0.1) / (2 * len(x))) for x in (p, u))
+    best = np.argmin((of_u + slack) / of_p)
+    # Kept off 0 and 1, where one of the risks would vanish.
+    return float(np.clip(of_u[best] / of_p[best], 1 / (len(u) + 2), 1 - 1 / (len(u) + 2)))
+
+
 def held_out(id_col: Column) -> Column:
     """Whether a row's label must not be learned from."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
@@ -135,11 +168,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Fit the model from labels (id_col, label_col) of rows that aren't held out."""
     ready(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).alias("label"))
-    n, good = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("label") == 1).cast("long")), F.lit(0))).first()
-    positive = sample(docs, drawn(known.where("label = 1").select("id"), most_positives), id_col, text_col)
+    trusted = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).alias("label")).where("label = 1")
+    positive = sample(docs, drawn(trusted.select("id"), most_positives), id_col, text_col)
     unlabelled = sample(docs, drawn(docs.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL"), most_unlabelled), id_col, text_col)
-    return fit(positive, unlabelled, (good + 1) / (n + 2))
+    return fit(positive, unlabelled, estimated_prior(positive, unlabelled))
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
