@@ -1,6 +1,7 @@
 import random
 import re
 
+from vaporline.llm import components as parts
 from vaporline.llm import simhash as S
 from vaporline.llm.components import components
 
@@ -66,6 +67,17 @@ def test_components_of_chains(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_without_broadcast_and_nulls(spark, monkeypatch):
+    monkeypatch.setattr(parts, "BROADCAST_NODES", 0)
+    r = random.Random(11)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(500, 501 + i) for i in range(50)] + [(None, 7), (8, None), (None, None)]
+    linked = {(a, b) for a, b in edges if a is not None and b is not None}
+    nodes = sorted({x for e in linked for x in e})
+    want = groups(nodes, lambda a, b: (a, b) in linked or (b, a) in linked)
+    got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {n: got.get(n, n) for n in nodes} == want and all(n != root for n, root in got.items())
+
+
 def test_awkward_documents(spark):
     docs = awkward(spark)
     rows = S.classes(docs).collect()

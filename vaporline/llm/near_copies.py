@@ -302,7 +302,8 @@ def still_apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def links(rows: DataFrame, texts: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(a, b): pairs of similar sets that connect all similar ones; rows as of ``described``."""
+    """(a, b): pairs of similar sets, or of a set and its component's root, that connect all
+    similar sets and no others; rows as of ``described``."""
     sets = settle(rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("text_hash").alias("text_hash"), *(F.max(p).alias(p) for p in PARITIES)))
     shared = held_by_several(rows).join(sets.select("fp", "n", "bits"), "fp").select("shingle", "fp", "n", "bits")
     shared = settle(shared)
@@ -310,14 +311,18 @@ def links(rows: DataFrame, texts: DataFrame, width: int = SHINGLE_WORDS) -> Data
     shared = shared.withColumn("blocks", F.lit(1)) if large.isEmpty() else settle(shared.join(large, "shingle", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))))
     shared = shared.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     pairs = settle(centres(shared))
-    found = compared(pairs, whole_sets(pairs, texts, sets, width))
-    roots = settle(components(found))
+    roots = components(compared(pairs, whole_sets(pairs, texts, sets, width)))
     pairs = still_apart(across(shared, roots, sets), roots)
     every = whole_sets(pairs, texts, sets, width)
     first = sharing_most(pairs)
-    found = found.unionByName(compared(first, every))
-    pairs = still_apart(pairs.join(first, ["a", "b"], "left_anti"), settle(components(found)))
-    return found.unionByName(compared(pairs.select("a", "b"), every))
+    roots = components(as_links(roots).unionByName(compared(first, every)))
+    pairs = still_apart(pairs.join(first, ["a", "b"], "left_anti"), roots)
+    return as_links(roots).unionByName(compared(pairs.select("a", "b"), every))
+
+
+def as_links(roots: DataFrame) -> DataFrame:
+    """Known components as pairs (a, b), so that these aren't sought again."""
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def kept_rows(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
