@@ -278,8 +278,8 @@ def joined_classes(rows: DataFrame, links_of: Callable[[DataFrame], DataFrame])
     total = rows.count()
     distinct = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
     roots = components(links_of(distinct.select("fp")))
-    linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "id", F.coalesce("root", "fp").alias("root"))
-    least = linked.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    linked = settle(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "id", F.coalesce("root", "fp").alias("root")))
+    least = settle(linked.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("members")))
     known = join_counted(linked, least, "root", "members", distinct.count()).select("fp", "n", "component_id", "root")
     found = join_counted(rows, settle(known), "fp", "n", total)
     return found.select("doc_id", "text_hash", "fp", "component_id", "root")
