@@ -36,3 +36,7 @@ def test_global_score_counts_an_event_on_the_border_in_both_windows(spark, full_
 
 def test_phase_separation_counts_an_event_on_the_border_once(spark, full_hours):
     assert_equals_sql(spark, "phase_separation", full_hours)
+
+
+def test_discordance_counts_an_event_on_the_border_in_both_windows(spark, full_hours):
+    assert_equals_sql(spark, "score_event_discordance", full_hours)
