@@ -40,3 +40,7 @@ def test_phase_separation_counts_an_event_on_the_border_once(spark, full_hours):
 
 def test_discordance_counts_an_event_on_the_border_in_both_windows(spark, full_hours):
     assert_equals_sql(spark, "score_event_discordance", full_hours)
+
+
+def test_subsystems_count_an_event_on_the_border_in_both_windows(spark, full_hours):
+    assert_equals_sql(spark, "subsystem_context", full_hours)
