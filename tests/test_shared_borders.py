@@ -44,3 +44,7 @@ def test_discordance_counts_an_event_on_the_border_in_both_windows(spark, full_h
 
 def test_subsystems_count_an_event_on_the_border_in_both_windows(spark, full_hours):
     assert_equals_sql(spark, "subsystem_context", full_hours)
+
+
+def test_history_counts_an_event_on_the_border_in_both_windows(spark, full_hours):
+    assert_equals_sql(spark, "temporal_history_features", full_hours)
