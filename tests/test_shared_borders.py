@@ -58,3 +58,7 @@ def same_instants(tmp_path_factory):
 
 def test_an_event_belongs_to_the_last_window_that_starts_by_its_instant(spark, same_instants):
     assert_equals_sql(spark, "window_event_assignment", same_instants)
+
+
+def test_types_are_counted_in_the_window_of_the_look_up(spark, same_instants):
+    assert_equals_sql(spark, "window_event_type_counts", same_instants)
