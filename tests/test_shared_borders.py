@@ -62,3 +62,7 @@ def test_an_event_belongs_to_the_last_window_that_starts_by_its_instant(spark, s
 
 def test_types_are_counted_in_the_window_of_the_look_up(spark, same_instants):
     assert_equals_sql(spark, "window_event_type_counts", same_instants)
+
+
+def test_last_values_are_those_of_the_window_of_the_look_up(spark, same_instants):
+    assert_equals_sql(spark, "window_zoh_snapshot", same_instants)
