@@ -66,3 +66,7 @@ def test_types_are_counted_in_the_window_of_the_look_up(spark, same_instants):
 
 def test_last_values_are_those_of_the_window_of_the_look_up(spark, same_instants):
     assert_equals_sql(spark, "window_zoh_snapshot", same_instants)
+
+
+def test_type_statistics_count_the_windows_of_the_look_up(spark, same_instants):
+    assert_equals_sql(spark, "event_type_statistics", same_instants)
