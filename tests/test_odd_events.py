@@ -20,6 +20,6 @@ def negative_keys(tmp_path_factory):
     return events_with(tmp_path_factory, user_id="user_id - (SELECT CAST(median(user_id) AS BIGINT) FROM '" + f"{SMALL}/events.parquet')")
 
 
-@pytest.mark.parametrize("name", ["score_event_discordance", "subsystem_context", "event_type_statistics"])
+@pytest.mark.parametrize("name", ["score_event_discordance", "subsystem_context", "event_type_statistics", "window_event_type_counts"])
 def test_negative_keys_have_the_tails_and_kinds_of_the_sql(spark, negative_keys, name):
     assert_equals_sql(spark, name, negative_keys)
