@@ -67,6 +67,24 @@ def test_components_of_chains(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges_take_few_tasks(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spark.sparkContext.setJobGroup("few edges", "")
+        assert components(edges).count() == 40
+    finally:
+        spark.sparkContext.setJobGroup("others", "")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few edges") for s in tracker.getJobInfo(j).stageIds}
+    # The first two reads of the edges have a task a partition, no round has.
+    assert sum(tracker.getStageInfo(s).numCompletedTasks for s in stages if tracker.getStageInfo(s)) < 200
+
+
 def test_components_without_broadcast_and_nulls(spark, monkeypatch):
     monkeypatch.setattr(parts, "BROADCAST_NODES", 0)
     r = random.Random(11)
@@ -78,6 +96,12 @@ def test_components_without_broadcast_and_nulls(spark, monkeypatch):
     assert {n: got.get(n, n) for n in nodes} == want and all(n != root for n, root in got.items())
 
 
+def test_components_of_more_edges_than_a_task_reads(spark, monkeypatch):
+    monkeypatch.setattr(parts, "EDGES_A_TASK", 20)
+    test_components_of_chains(spark)
+    test_components_without_broadcast_and_nulls(spark, monkeypatch)
+
+
 def test_awkward_documents(spark):
     docs = awkward(spark)
     rows = S.classes(docs).collect()

@@ -2,10 +2,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vaporline.llm import bpe_codec, queries, token_counts
-from vaporline.llm.bpe_vocab import Bounded, default_vocabulary
+from vaporline.llm.bpe_vocab import AT_REST, Bounded, default_vocabulary
+from vaporline.llm.common import free_memory
 
 from .helpers import AWKWARD, awkward, empty
 
@@ -81,3 +83,30 @@ def test_bounded_cache_gives_what_is_made():
     cache = Bounded(lambda k: made.append(k) or len(k), most=3, longest=4)
     assert [cache[k] for k in ["a", "bb", "ccc", "a", "dddd", "a", "bb", "eeeee", "eeeee"]] == [1, 2, 3, 1, 4, 1, 2, 5, 5]
     assert len(cache) <= 3 and made.count("a") == 1 and made.count("eeeee") == 2
+
+
+def test_free_memory_goes_back():
+    anon = lambda: sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Pss_Anon:"))  # noqa: E731, SIM115
+    held = [bytearray(5000) for _ in range(20_000)]
+    last = bytearray(5000)  # keeps the heap's end in use
+    full = anon()
+    del held
+    free_memory()
+    assert last and anon() < full - 80_000
+
+
+def test_workers_keep_few_words_between_tasks(spark):
+    path = default_vocabulary()
+    text = " ".join(f"w{i}x" for i in range(AT_REST + 10_000))
+    assert bpe_codec.encode_into(spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)).select("n_tokens").first()[0] > 0
+
+    def kept(batches):
+        import time
+
+        time.sleep(0.5)  # so that each worker has a task
+        list(batches)
+        found = bpe_codec.codec(path)
+        yield pa.RecordBatch.from_arrays([pa.array([len(found.bare) + len(found.spaced) + len(found.bare.old) + len(found.spaced.old)])], ["n"])
+
+    sizes = [x.n for x in spark.range(0, 8, 1, 8).mapInArrow(kept, "n long").collect()]
+    assert len(sizes) == 8 and max(sizes) < AT_REST

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaporline.llm.bpe_vocab import Bounded, default_vocabulary, one_class, vocabulary, words_of
-from vaporline.llm.common import fresh, ready, text_of
+from vaporline.llm.common import free_memory, fresh, ready, text_of
 
 #: Texts of more bytes than this are halved.
 LEAF_BYTES = 4096
@@ -63,6 +63,12 @@ class Codec:
         for i, b in self.vocab.bytes_of.items():
             self.lengths[i] = len(b)
 
+    def rest(self) -> None:
+        """A task's end, where the worker's memory is for other stages, too."""
+        self.bare.rest()
+        self.spaced.rest()
+        free_memory()
+
     def plain(self, text: str) -> bytes:
         """The library's ids, packed."""
         return packed(self.vocab.tokenizer.encode(text, add_special_tokens=False).ids) if text else b""
@@ -204,9 +210,10 @@ def encode_into(docs: DataFrame, *, path: str | None = None, leaf_bytes: int = L
     path = path or default_vocabulary()
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = codec(path, leaf_bytes).encode
+        found = codec(path, leaf_bytes)
         for texts in batches:
-            yield pd.Series([np.frombuffer(enc(t), np.int32) for t in texts], dtype=object)
+            yield pd.Series([np.frombuffer(found.encode(t), np.int32) for t in texts], dtype=object)
+        found.rest()
 
     ids = F.pandas_udf(run, "array<int>")(text_of(text_col))
     kept = [c for c in docs.columns if c.lower() not in ("ids", "n_tokens")]

@@ -163,6 +163,10 @@ def words_of(text: str, specials) -> list[list[str]] | None:
     return [line.split(" ") for line in text.split("\n")]
 
 
+#: Keys that a ``Bounded`` keeps between the tasks of a worker that says ``rest``.
+AT_REST = 50_000
+
+
 class Bounded(dict):
     """A dict of what ``make(key)`` gives; looked up by ``[]``, a known key costs no
     Python call. When it is full it starts anew and the full one is asked before
@@ -183,3 +187,10 @@ class Bounded(dict):
                 self.clear()
             self[key] = value
         return value
+
+    def rest(self) -> None:
+        """A task's end: with more than AT_REST keys it starts anew, so that a worker's
+        later tasks and stages don't stand beside what this one looked up."""
+        if len(self) + len(self.old) > AT_REST:
+            self.old = {}
+            self.clear()

@@ -9,13 +9,15 @@ from vaporline.llm.common import join_counted, settle
 
 #: Up to so many nodes of two longs are broadcast, more are joined by shuffle.
 BROADCAST_NODES = 500_000
-#: Edges that a task reads at least, as long as all cores have a task.
+#: Edges that a task reads.
 EDGES_A_TASK = 50_000
 
 
 def in_tasks(edges: DataFrame, rows: int) -> DataFrame:
-    """Settled edges, read by as many tasks as their number asks for, without a shuffle."""
-    return edges.coalesce(max(edges.sparkSession.sparkContext.defaultParallelism, rows // EDGES_A_TASK + 1))
+    """Edges, read by as many tasks as their number asks for, without a shuffle. What
+    one task reads is grouped by that task: a round of few edges is a few tasks, not
+    as many for each shuffle as there are partitions, all of which the driver keeps."""
+    return edges.coalesce(rows // EDGES_A_TASK + 1)
 
 
 def with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
@@ -51,6 +53,6 @@ def components(edges: DataFrame) -> DataFrame:
         rows = large.count()
         least = in_tasks(settle(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))), rows)
         hung = with_least(large, least, rows).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = in_tasks(settle(hung.unionByName(least.select("a", F.col("m").alias("b"))).distinct()), 2 * rows)
-        rows = edges.count()
+        edges = settle(in_tasks(hung.unionByName(least.select("a", F.col("m").alias("b"))), 2 * rows).distinct())
+        edges, rows = in_tasks(edges, 2 * rows), edges.count()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

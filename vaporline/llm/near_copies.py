@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vaporline.llm.common import ready, settle, text_of
+from vaporline.llm.common import free_memory, ready, settle, text_of
 from vaporline.llm.components import components
 from vaporline.llm.simhash import AT_ONCE, SEED, GrayTree, bit_counts, joined_classes, kept_of, majority, signed, whole_groups
 
@@ -143,6 +143,7 @@ def described(texts: DataFrame, common: np.ndarray, often: np.ndarray, width: in
                 odd.append([None] * len(PARITIES) if keys[-1] in seen else parities(found).tolist())
                 seen.add(keys[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.int64()), pa.array(first, pa.list_(pa.int64())), *(pa.array([o[k] for o in odd], pa.int64()) for k in range(len(PARITIES)))], names)
+        free_memory()
 
     return texts.select("doc_id", "text_hash", "text").mapInArrow(run, schema)
 
@@ -267,6 +268,7 @@ def whole_sets(pairs: DataFrame, texts: DataFrame, sets: DataFrame, width: int)
                     seen.add(h)
                     found = shingles(t.as_py(), width)
                     yield pa.RecordBatch.from_arrays([pa.array([key_of(found)], pa.int64()), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], ["fp", "every"])
+        free_memory()
 
     need = F.broadcast(need) if need.count() <= BROADCAST_KEYS else need
     every = texts.select("text_hash", "text").join(need, "text_hash", "left_semi").mapInArrow(run, "fp long, every array<long>")

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaporline.llm.bpe_vocab import Bounded
-from vaporline.llm.common import fresh, ready, text_of
+from vaporline.llm.common import free_memory, fresh, ready, text_of
 
 MOST_POSITIVES = 12_000
 MOST_UNLABELLED = 12_000
@@ -195,6 +195,8 @@ def accepted(docs: DataFrame, model: Model, *, text_col: str = "text", threshold
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(model.score(np.array([features(t) for t in texts]).reshape(-1, N_FEATURES)))
+        BUCKETS.rest()
+        free_memory()
 
     scored = F.pandas_udf(run, "double")
     (name,) = fresh(docs, "quality_score")
